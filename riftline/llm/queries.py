@@ -1,8 +1,8 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from . import mixing, sharding
+from . import mixing, secrets, sharding, toxicity
 
-MODULES = [sharding, mixing]
+MODULES = [sharding, mixing, secrets, toxicity]
 
 QUERIES = {m.QUERY: m.query for m in MODULES}
 ORACLES = {m.QUERY: m.ORACLE for m in MODULES if m.ORACLE}
