@@ -1,8 +1,8 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from . import mixing, secrets, sharding, toxicity
+from . import mixing, packing, secrets, sharding, toxicity, wavelet
 
-MODULES = [sharding, mixing, secrets, toxicity]
+MODULES = [wavelet, packing, toxicity, secrets, mixing, sharding]
 
 QUERIES = {m.QUERY: m.query for m in MODULES}
 ORACLES = {m.QUERY: m.ORACLE for m in MODULES if m.ORACLE}
