@@ -52,11 +52,12 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, lengths: n
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1)
-    alphabet, x = np.unique(ids, return_inverse=True)
-    x = x.astype(np.uint32)
+    seen = np.bincount(ids) > 0
+    alphabet = np.flatnonzero(seen)
+    x = (np.cumsum(seen) - 1).astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)[ids]
     planes, body = [], []
     for bit in range(max(1, int(len(alphabet) - 1).bit_length()) - 1, -1, -1):
-        ones = (x >> np.uint32(bit)) & np.uint32(1) == 1
+        ones = x & x.dtype.type(1 << bit) != 0
         packed = np.packbits(ones, bitorder="little")
         per_block = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK * 8), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
         sizes = []
@@ -182,13 +183,14 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, by merging the planes from the last to the first."""
-        x = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
+        x = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             plane = self.planes[level]
             ones = np.concatenate([self._block(level, k) for k in range(len(plane["sizes"]))] or [np.zeros(0, np.uint8)])[: self.n].astype(bool)
             out = np.empty_like(x)
             out[~ones] = x[: plane["zeros"]]
-            out[ones] = x[plane["zeros"] :] | np.uint32(1 << plane["bit"])
+            out[ones] = x[plane["zeros"] :] | kind(1 << plane["bit"])
             x = out
         return self.alphabet[x] if self.n else x
 
