@@ -471,7 +471,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     hot = members.groupBy("cluster").agg(size.alias("_blocks")).where("_blocks > 1")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(members, F.col("_id").eqNullSafe(F.col("_doc"))).select("cluster", "h", "text")
+    # One plan at every size: the texts meet their clusters by a sort-merge join, which moves each text once.
+    found = texts.join(members.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc"))).select("cluster", "h", "text")
     found = in_blocks(found, hot, "cluster").select("cluster", "i", "j", "h", "text")
     found = found.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h")
     labels = components(found.mapInArrow(cluster_links(threshold, width), "a binary, b binary"))
