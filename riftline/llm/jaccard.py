@@ -480,7 +480,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     # sets without links are their own class
     named = rows.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "sid").alias("_class"))
     named = stage(named, "jaccard-named")
-    least = named.where("n > 0").groupBy("_class").agg(F.min("doc_id").alias("_least"))
+    # written, so that a hot class can be split in the join that follows
+    least = stage(named.where("n > 0").groupBy("_class").agg(F.min("doc_id").alias("_least")), "jaccard-least")
     out = named.join(least, "_class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
