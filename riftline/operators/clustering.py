@@ -35,13 +35,17 @@ def intrinsic_dimension(ordered: np.ndarray) -> float:
 
 
 def density_peaks(d: np.ndarray, z: float = 1.65) -> np.ndarray:
-    """Advanced density peaks: labels from adaptive-neighbourhood densities and peaks merged within ``z`` errors."""
+    """Advanced density peaks: labels from adaptive-neighbourhood densities and peaks merged within ``z`` errors.
+
+    A neighbourhood grows to twice the root of the number of points at most:
+    beyond the smaller clusters' sizes equal densities say nothing.
+    """
     n = len(d)
     near = np.argsort(d, axis=1, kind="stable")
     ordered = np.take_along_axis(d, near, 1)
     dim = intrinsic_dimension(ordered)
     log_volume = dim * np.log(np.maximum(ordered, 1e-300))
-    most = n - 1
+    most = min(n - 1, max(3, int(2 * n**0.5)))
     k_of = np.full(n, min(3, most))
     for i in range(n):
         for k in range(min(3, most), most + 1):
