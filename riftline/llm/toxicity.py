@@ -36,6 +36,8 @@ from .words import pieces, word_hashes
 
 BITS = 22
 PREFIXES = (4, 5)
+#: Tasks that read the training sample.
+TRAIN_PARTS = 12
 
 
 def terms(column: pa.Array):
@@ -71,30 +73,40 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(counts: np.ndarray, buckets: np.ndarray, labels: np.ndarray, max_terms: int = 2048, rank: int = 4, epochs: int = 24, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Machine:
+def fit(parts, max_terms: int = 2048, rank: int = 4, epochs: int = 24, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """A machine from parts (terms per row, buckets, labels), in a fixed order of rows.
+
+    Beside the parts it holds two counts for each bucket and a byte for each row
+    and selected term.
+    """
+    labels = np.concatenate([np.zeros(0), *[p[2] for p in parts]])
     n, positive = len(labels), int(labels.sum())
     base = (positive + 0.5) / (n + 1)
     empty = Machine(float(np.log(base / (1 - base))), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, rank)))
     if positive == 0 or positive == n:
         return empty
-    rows = np.repeat(np.arange(n), counts)
-    seen, inverse = np.unique(buckets, return_inverse=True)
-    df = np.bincount(inverse)
-    hits = np.bincount(inverse, labels[rows])
+    df, hits = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for counts, buckets, y in parts:
+        np.add.at(df, buckets, 1)
+        np.add.at(hits, buckets[np.repeat(y > 0, counts)], 1)
     # chi-square of a 2 x 2 table, with small expected counts discounted by one pseudo-row
-    expected = df * positive / n
-    chi = (hits - expected) ** 2 / (expected + 1) + (hits - expected) ** 2 / (df - expected + 1)
-    chi[df < 2] = 0
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
-    chosen = chosen[chi[chosen] > 3.84]  # the 5 % point of one degree of freedom
+    seen = np.flatnonzero(df >= 2)
+    expected = df[seen] * (positive / n)
+    chi = (hits[seen] - expected) ** 2 * (1 / (expected + 1) + 1 / (df[seen] - expected + 1))
+    chosen = np.argsort(-chi, kind="stable")[:max_terms]
+    chosen = np.sort(seen[chosen[chi[chosen] > 3.84]])  # the 5 % point of one degree of freedom
     if not len(chosen):
         return empty
-    place = np.full(len(seen), -1)
+    place = df  # its counts are done with
+    place[:] = -1
     place[chosen] = np.arange(len(chosen))
-    col = place[inverse]
-    rows, col = rows[col >= 0], col[col >= 0]
-    x = np.zeros((n, len(chosen)), np.uint8)
-    x[rows, col] = 1
+    x, first = np.zeros((n, len(chosen)), np.uint8), 0
+    for counts, buckets, y in parts:
+        col = place[buckets]
+        known = col >= 0
+        x[first + np.repeat(np.arange(len(y), dtype=np.int32), counts)[known], col[known]] = 1
+        first += len(y)
+    del df, hits, place
     rng = np.random.default_rng(seed)
     w0, w, v = empty.bias, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), rank))
     g0, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
@@ -108,7 +120,7 @@ def fit(counts: np.ndarray, buckets: np.ndarray, labels: np.ndarray, max_terms:
             dv = xb.T @ (err[:, None] * xv) - v * (xb.T @ err)[:, None] + decay * v
             g0, gw, gv = g0 + d0 * d0, gw + dw * dw, gv + dv * dv
             w0, w, v = w0 - rate * d0 / np.sqrt(g0), w - rate * dw / np.sqrt(gw), v - rate * dv / np.sqrt(gv)
-    return Machine(float(w0), seen[chosen], w, v)
+    return Machine(float(w0), chosen.astype(np.int32), w, v)
 
 
 def crc_of_id(id_col: str):
@@ -138,13 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col:
                     ["_order", "_y", "_terms"],
                 )
 
-    got = rows.select("_text", "_y", "_order").mapInArrow(gather, "_order string, _y int, _terms array<int>").toArrow().sort_by("_order")
-    lists = got.column("_terms").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    if not len(got):
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), **options)
-    counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(counts, lists.flatten().to_numpy(zero_copy_only=False), got.column("_y").to_numpy().astype(float), **options)
+    # A batch of one task is a part; parts, and rows by their ids in them, come in one order whatever the partitions are.
+    got = rows.select("_text", "_y", "_order").repartitionByRange(TRAIN_PARTS, "_order").sortWithinPartitions("_order")
+    got = got.mapInArrow(gather, "_order string, _y int, _terms array<int>").toArrow().drop_columns("_order")
+    parts = []
+    for batch in got.to_batches():
+        terms_of = batch.column(1)
+        parts.append((terms_of.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), terms_of.flatten().to_numpy(zero_copy_only=False), batch.column(0).to_numpy().astype(float)))
+    return fit(parts, **options)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
