@@ -2,9 +2,11 @@
 
 Runs are islands of consecutive candidates (g above the cutoff, strictly). Of a
 series' islands the last is dropped and those of one member are ignored; a
-run's last member does not take part in reading its boundaries. All steps group
-by (series_id, q): after the filter only candidates are left, and islands are
-found from differences with the neighbour, by two aggregations at most.
+run's last member does not take part in reading its boundaries.
+
+Islands are found inside chunks of time. Only those that touch a chunk's border,
+two in a chunk at most, are then joined along the series, so one long series is
+many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import gradient
+from .windows import CHUNK, gradient
 
 
 def quantile_cutoffs(stat: DataFrame, levels: list[float]) -> DataFrame:
@@ -22,16 +24,49 @@ def quantile_cutoffs(stat: DataFrame, levels: list[float]) -> DataFrame:
     return wide.select("series_id", F.posexplode("c").alias("k", "cutoff")).select("series_id", F.element_at(at, F.col("k") + 1).alias("q"), F.round("cutoff", 9).alias("cutoff"))
 
 
+def large_quantile_cutoffs(stat: DataFrame, levels: list[float], bins: int = 4096) -> DataFrame:
+    """As ``quantile_cutoffs``, for series whose distinct values don't fit a task.
+
+    A histogram shows in which bins the order statistics lie that a level needs;
+    only the values of these bins are counted one by one.
+    """
+    at = F.array(*[F.lit(float(q)) for q in levels])
+    span = stat.groupBy("series_id").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi"), F.count("g").alias("_n"))
+    rows = stat.join(F.broadcast(span), "series_id")  # a row a series
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("g") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0).cast("long"))
+    values = rows.groupBy("series_id", bin_.alias("_bin"), "g").agg(F.count("*").alias("_m"))
+    up = lambda *keys: Window.partitionBy(*keys)
+    counts = values.groupBy("series_id", "_bin").agg(F.sum("_m").alias("_size"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_size").over(up("series_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    want = span.select("series_id", F.posexplode(at).alias("_k", "q"), ((F.col("_n") - 1) * F.col("q")).alias("_at"))
+    want = want.select("series_id", "q", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank")).distinct()
+    hit = want.join(counts, "series_id").where("_rank >= _before and _rank < _before + _size")
+    inner = values.join(hit.select("series_id", "_bin", "_before").distinct(), ["series_id", "_bin"])
+    inner = inner.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_m").over(up("series_id", "_bin").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = hit.select("series_id", "q", "_at", "_rank", "_bin").join(inner.drop("_before"), ["series_id", "_bin"]).where("_rank >= _first and _rank < _first + _m")
+    low, high = F.min_by("g", "_rank"), F.max_by("g", "_rank")
+    value = low + (F.max("_at") - F.floor(F.max("_at"))) * (high - low)
+    return found.groupBy("series_id", "q").agg(F.round(value, 9).alias("cutoff"))
+
+
 def candidates(stat: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Members of kept runs, their last one marked: the gradient, run (its first t) and run_end."""
     rows = gradient(stat).join(F.broadcast(cutoffs), "series_id").where("g > cutoff")  # a row a series and level
     key = ["series_id", "q"]
-    island = F.col("t") - F.row_number().over(Window.partitionBy(*key).orderBy("t"))
+    rows = rows.withColumn("_c", F.floor(F.col("t") / CHUNK))
+    island = F.col("t") - F.row_number().over(Window.partitionBy(*key, "_c").orderBy("t"))
     rows = rows.withColumn("_island", island)
-    runs = rows.groupBy(*key, "_island").agg(F.min("t").alias("run"), F.max("t").alias("run_end"), F.count("*").alias("_size"))
-    last = F.max("_island").over(Window.partitionBy(*key))
-    kept = runs.withColumn("_last", last).where("_size >= 2 and _island < _last").drop("_last", "_size")
-    return rows.join(kept, [*key, "_island"]).drop("_island")
+    local = rows.groupBy(*key, "_c", "_island").agg(F.min("t").alias("run"), F.max("t").alias("run_end"))
+    touches = (F.col("run") % CHUNK == 0) | (F.col("run_end") % CHUNK == CHUNK - 1)
+    along = Window.partitionBy(*key).orderBy("run")
+    border = local.where(touches).withColumn("_new", F.coalesce((F.col("run") != F.lag("run_end").over(along) + 1).cast("int"), F.lit(1)))
+    border = border.withColumn("_g", F.sum("_new").over(along))
+    whole = Window.partitionBy(*key, "_g")
+    border = border.select(*key, "_c", "_island", F.min("run").over(whole).alias("run"), F.max("run_end").over(whole).alias("run_end"))
+    runs = local.where(~touches).select(border.columns).union(border)
+    last = runs.groupBy(*key).agg(F.max("run").alias("_last"))
+    kept = runs.join(last, key).where("run_end > run and run < _last").drop("_last")
+    return rows.join(kept, [*key, "_c", "_island"]).drop("_island", "_c")
 
 
 def find_runs(stat: DataFrame, cutoffs: DataFrame) -> DataFrame:

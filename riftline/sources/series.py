@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def from_table(df: DataFrame, series_id, order: list[str], value) -> DataFrame:
-    """series_id, t, x, n with ``t`` from 0 in the given order."""
-    rows = df.select(series_id.alias("series_id"), *order, value.alias("x"))
+def from_table(df: DataFrame, series_id, order: list[str], value, bucket=None) -> DataFrame:
+    """series_id, t, x, n with ``t`` from 0 in the given order.
+
+    ``bucket`` is a coarse column that never falls along ``order`` (a day, say).
+    Rows are then numbered inside (series, bucket), and the counts of the buckets
+    before, one row for each bucket, are added: a long series is many tasks.
+    """
+    rows = df.select(series_id.alias("series_id"), *order, value.alias("x"), (F.lit(0) if bucket is None else bucket).alias("_bucket"))
+    counts = rows.groupBy("series_id", "_bucket").agg(F.count("*").alias("_size"))
     by = Window.partitionBy("series_id")
-    return rows.select("series_id", (F.row_number().over(by.orderBy(*order)) - 1).cast("long").alias("t"), "x", F.count("*").over(by).alias("n"))
+    before = F.sum("_size").over(by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("series_id", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(by).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("series_id", "_bucket").orderBy(*order)) - 1
+    rows = rows.withColumn("_k", inside).join(counts, ["series_id", "_bucket"])
+    return rows.select("series_id", (F.col("_before") + F.col("_k")).cast("long").alias("t"), "x", "n")
 
 
 def events(spark: SparkSession, sf_dir: str, value=None) -> DataFrame:
     """A series for each event type, by time and id."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return from_table(table, F.col("event_type"), ["ts", "event_id"], F.col("value") if value is None else value)
+    return from_table(table, F.col("event_type"), ["ts", "event_id"], F.col("value") if value is None else value, F.to_date("ts"))
 
 
 def text_series(spark: SparkSession, path: str) -> DataFrame:

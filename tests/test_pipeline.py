@@ -102,3 +102,22 @@ def test_autocorrelation_time():
         x[t] = 0.8 * x[t - 1] + rng.normal()
     assert nulls.integrated_time(x)[0] == pytest.approx(9, rel=0.25)
     assert nulls.integrated_time(np.ones(10)) == (1.0, 0)
+
+
+def test_runs_across_chunks(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=400).cumsum()
+    stat = windows.metric_derivative(series(spark, x), 6)
+    cuts = thresholds.quantile_cutoffs(stat, [0.3, 0.6])
+    whole = sorted(map(tuple, thresholds.find_runs(stat, cuts).collect()))
+    monkeypatch.setattr(thresholds, "CHUNK", 9)
+    assert sorted(map(tuple, thresholds.find_runs(stat, cuts).collect())) == whole and len(whole) > 3
+
+
+def test_quantiles_by_histogram(spark):
+    rng = np.random.default_rng(6)
+    a, b = series(spark, rng.normal(size=500).round(2)), series(spark, [1.0] * 30, "b")
+    stat = a.union(b).withColumnRenamed("x", "g")
+    levels = [0.0, 0.1, 0.5, 0.953, 1.0]
+    plain, large = (sorted(map(tuple, f(stat, levels).collect())) for f in (thresholds.quantile_cutoffs, lambda s, q: thresholds.large_quantile_cutoffs(s, q, 16)))
+    assert [x[:2] for x in plain] == [x[:2] for x in large]
+    assert [x[2] for x in plain] == pytest.approx([x[2] for x in large], abs=1e-8)
