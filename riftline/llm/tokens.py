@@ -18,8 +18,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct parts remembered by a worker: some 150 MB.
-CACHE_PARTS = 700_000
+#: Distinct parts remembered by a worker: some 120 MB.
+CACHE_PARTS = 600_000
 END_ID = 1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case is one letter, then ASCII marks: two pre-tokens at most.
@@ -63,8 +63,7 @@ class Encoder:
         self.used = 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.known = 0
-        self.pool: list[list[int]] = [[]]  # ids of words and of what follows them
-        self.pooled: dict[str, int] = {"": 0}
+        self.tails: dict[str, list[int]] = {"": []}  # ids of marks after words
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -80,29 +79,27 @@ class Encoder:
         self.length[self.known : self.known + len(lengths)] = lengths
         self.used, self.known = self.used + len(ids), self.known + len(lengths)
 
-    def _pool(self, keys: list[str], ids: list[list[int]]):
-        for key, own in zip(keys, ids):
-            self.pooled[key] = len(self.pool)
-            self.pool.append(own)
-
     def _learn(self):
         """Encode the parts met since the last call."""
         fresh, self.places.fresh = self.places.fresh, []
-        pooled, match, plan = self.pooled, _WORD.fullmatch, []
-        words, rest = {}, {}
+        match, places, known = _WORD.fullmatch, self.places, self.known
+        plan, words, tails, rest = [], {}, {}, []
         for part in fresh:
             if m := match(part):
                 word, tail = m.groups()
                 word = word.lower()
-                if word not in pooled:
-                    words[word] = None
+                if word not in words:
+                    # a word that was met bare before needs no encoding
+                    at = places.get(word, known)
+                    words[word] = self.flat[self.start[at] : self.start[at] + self.length[at]].tolist() if at < known else None
+                if tail not in self.tails:
+                    tails[tail] = None
+                plan.append((word, tail))
             else:
-                word, tail = "", part
-            if tail not in pooled:
-                rest[tail] = None
-            plan.append((word, tail))
+                rest.append(part)
+                plan.append((None, None))
         for ascii_only in (True, False):
-            todo = [w for w in words if w.isascii() == ascii_only]
+            todo = [w for w, ids in words.items() if ids is None and w.isascii() == ascii_only]
             if not todo:
                 continue
             text = " ".join(todo)
@@ -114,11 +111,16 @@ class Encoder:
             if len(cuts) != len(todo):
                 raise ValueError("the vocabulary doesn't mark the ends of words")
             flat, cuts = ids.tolist(), cuts.tolist()
-            self._pool(todo, [flat[a:b] for a, b in zip([0, *cuts], cuts)])
-        if rest:
-            self._pool(list(rest), [e.ids for e in self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)])
-        pool = self.pool
-        out = [pool[pooled[w]] + pool[pooled[t]] if t else pool[pooled[w]] for w, t in plan]
+            words.update(zip(todo, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+        other = iter(self.tokenizer.encode_batch_fast([*tails, *rest], add_special_tokens=False) if tails or rest else [])
+        if len(self.tails) > CACHE_PARTS // 50:
+            self.tails = {t: ids for t, ids in self.tails.items() if len(t) < 2}
+            tails |= {t: None for _, t in plan if t and t not in self.tails and t not in tails}
+            other = iter(self.tokenizer.encode_batch_fast([*tails, *rest], add_special_tokens=False))
+        for tail in tails:
+            self.tails[tail] = next(other).ids
+        marks = self.tails
+        out = [next(other).ids if w is None else words[w] + marks[t] if t else words[w] for w, t in plan]
         self._keep(np.array(list(chain.from_iterable(out)), np.int32), np.fromiter(map(len, out), np.int32, len(out)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
