@@ -168,7 +168,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def texts_by_size(column, limit: int = 1 << 22):
+def texts_by_size(column, limit: int = 1 << 20):
     """(first row, texts) of an Arrow string column, in runs of some ``limit`` characters."""
     run, first, size = [], 0, 0
     for i, text in enumerate(column):
