@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import mix64, shingle_sets
-from .workspace import stage
+from .workspace import discard, new_path, stage
 
 CLASSES = 32
 RING = 1.25
@@ -453,14 +453,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     threshold = Threshold(percent)
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    prof = stage(profiles(docs, width, percent, buckets, id_col, text_col), "jaccard-profiles")
-    rows = prof.where(F.col("kind") == DOC).select("doc_id", "n", "h", "sid", "sketch")
+    path = new_path(spark, "jaccard-profiles")
+    profiles(docs, width, percent, buckets, id_col, text_col).write.parquet(path)
+    prof = spark.read.schema(PROFILE).parquet(path)
+    rows = stage(prof.where(F.col("kind") == DOC).select("doc_id", "n", "h", "sid", "sketch"), "jaccard-sets")
     sets = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n", "sketch")).alias("s")).select("h", "doc_id", "s.n", "s.sketch")
 
     sent = prof.where(F.col("kind") == SIGS).select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
     members = sent.mapInArrow(shared_signatures, "sig long, h long")
     members = members.unionByName(prof.where(F.col("kind") == MULTI).select(F.col("n").alias("sig"), "h")).distinct()
     members = stage(members, "jaccard-regions")
+    discard(spark, path)  # the signatures are the largest table, and used up
     hot = members.groupBy("sig").count().where(F.col("count") > BLOCK).select("sig", F.ceil(F.col("count") / BLOCK).alias("_blocks"))
     regions = in_blocks(members, hot, "sig").join(sets.select("h", "n", "sketch"), "h").select("sig", "i", "j", "h", "n", "sketch")
     regions = regions.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "h")

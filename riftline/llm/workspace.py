@@ -42,6 +42,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for explicit range partitioning: as many as the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
