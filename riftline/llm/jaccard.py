@@ -55,7 +55,7 @@ CLASSES = 32
 RING = 1.25
 DEPTH = 12
 #: Signatures combined in a map task before they are sent on.
-COMBINE = 3_000_000
+COMBINE = 1_000_000
 BLOCK = 512
 BLOCK_SHINGLES = 1_500_000
 LEAF = 192
@@ -109,7 +109,7 @@ def signatures(sizes: np.ndarray, h: np.ndarray, threshold: Threshold) -> tuple[
         # in runs, as each set is expanded once for each of its rings or poor parts
         again = []
         cost = np.cumsum(sizes[rows] + parts)
-        cuts = np.searchsorted(cost, np.arange(0, cost[-1], 4_000_000)[1:])
+        cuts = np.searchsorted(cost, np.arange(0, cost[-1], 1_000_000)[1:])
         for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
             if lo == hi:
                 continue
