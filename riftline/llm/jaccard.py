@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import mix64, shingle_sets
-from .workspace import discard, new_path, stage
+from .workspace import discard, new_path, release_shuffles, stage
 
 CLASSES = 32
 RING = 1.25
@@ -464,6 +464,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     members = members.unionByName(prof.where(F.col("kind") == MULTI).select(F.col("n").alias("sig"), "h")).distinct()
     members = stage(members, "jaccard-regions")
     discard(spark, path)  # the signatures are the largest table, and used up
+    del sent, prof
+    release_shuffles(spark)
     hot = members.groupBy("sig").count().where(F.col("count") > BLOCK).select("sig", F.ceil(F.col("count") / BLOCK).alias("_blocks"))
     regions = in_blocks(members, hot, "sig").join(sets.select("h", "n", "sketch"), "h").select("sig", "i", "j", "h", "n", "sketch")
     regions = regions.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "h")

@@ -8,6 +8,7 @@ own.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables no longer referred to: its cleaner waits for the driver's garbage collector."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for explicit range partitioning: as many as the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
