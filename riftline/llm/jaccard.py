@@ -54,6 +54,7 @@ from .workspace import discard, new_path, release_shuffles, stage
 CLASSES = 32
 RING = 1.25
 DEPTH = 12
+LEAST_PERCENT = 80
 #: Signatures combined in a map task before they are sent on.
 COMBINE = 1_000_000
 BLOCK = 512
@@ -68,6 +69,9 @@ class Threshold:
     """A link: 100 |A and B| >= percent |A or B|."""
 
     def __init__(self, percent: int):
+        if not LEAST_PERCENT <= percent <= 100:
+            # below, parts hold so few elements that refining the empty ones doesn't end
+            raise ValueError(f"similarities of {LEAST_PERCENT} to 100 percent are supported, not {percent}")
         self.percent = percent
         # Some twice the share of parts that the smallest sets of a ring leave empty.
         self.spare = 2.2 * np.exp(-percent / 100 * (100 + percent) / (2 * RING * (100 - percent))) + 0.01 if percent < 100 else 0.0

@@ -44,7 +44,7 @@ def result(df, width, percent):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, width, percent).collect()}
 
 
-@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 50)])
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 90)])
 def test_equals_all_pairs(spark, width, percent):
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -63,7 +63,7 @@ def test_leaf_and_regions_agree(monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", 4)
     rows = near_copies(seed=5, count=150, words=60)
     (_, sizes, h), = words.shingle_sets(pa.array([t for _, t in rows]), 3)
-    whole, parts = (jaccard.Metric(sizes, h, jaccard.Threshold(70)) for _ in range(2))
+    whole, parts = (jaccard.Metric(sizes, h, jaccard.Threshold(80)) for _ in range(2))
     members = np.flatnonzero(sizes)
     whole.pairs(members)
     parts.join(members)
@@ -73,7 +73,7 @@ def test_leaf_and_regions_agree(monkeypatch):
 
 def test_linked_sets_share_a_signature():
     rows = near_copies(seed=11, count=200, words=200)
-    for percent in (60, 80, 90):
+    for percent in (80, 85, 90):
         t = jaccard.Threshold(percent)
         (_, sizes, h), = words.shingle_sets(pa.array([x for _, x in rows]), 3)
         row, sig = jaccard.signatures(sizes, h, t)
@@ -85,6 +85,12 @@ def test_linked_sets_share_a_signature():
                     assert of[a] & of[b]
 
 
+@pytest.mark.parametrize("percent", [50, 79, 101])
+def test_unsupported_similarities_are_refused(percent):
+    with pytest.raises(ValueError):
+        jaccard.Threshold(percent)
+
+
 def test_odd_texts(spark):
     got = result(clashing(odd(spark)), 3, 90)
     assert got == brute([(r[0], r[1]) for r in ODD], 3, 90)
