@@ -91,9 +91,11 @@ def probe_tree(data: bytes, qids: np.ndarray, q: np.ndarray, k: int, factor: flo
         who, scores = who[useful], scores[useful]
         s = np.hstack([found[who], scores])
         i = np.hstack([found_ids[who], np.broadcast_to(ids[a:b], scores.shape)])
-        if s.shape[1] > 3 * k:
-            # the k best and all that tie with the last of them come first
-            part = np.argpartition(-s, 2 * k, axis=1)[:, : 2 * k]
+        # as many columns as the most that reach their row's k-th score, so that none of a tie is lost
+        cut = np.partition(s, -k, axis=1)[:, -k, None]
+        width = int((s >= cut).sum(1).max(initial=0))
+        if 0 < width < s.shape[1]:
+            part = np.argpartition(-s, width - 1, axis=1)[:, :width]
             s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
         take = np.lexsort((i, -s), axis=1)[:, :k]
         found[who], found_ids[who] = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)

@@ -65,6 +65,19 @@ def test_factor_one_is_exact_and_the_default_is_close(table, monkeypatch):
     assert recall(df, x, vptree.FACTOR) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [60, 128, 700])
+def test_ties_go_to_the_smaller_ids(copies):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 64))
+    x[rng.choice(1000, copies, replace=False)] = x[0] = rng.normal(size=64) * 2
+    ids = rng.permutation(1000).astype(np.int64)
+    row, found, score = vptree.probe_tree(vptree.build(ids, x), ids[:8], x[:8], 20, 1.0)
+    for q in range(8):
+        s = (x * x[q]).sum(1).round(9)
+        s[q] = -np.inf
+        assert found[row == q].tolist() == ids[best(ids, x, s)].tolist()
+
+
 @pytest.mark.parametrize("search", [mtree.exact_top_k, vptree.approximate_neighbours])
 def test_few_and_no_vectors(spark, search):
     few = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [3.0, 1.0], 0)], SCHEMA)
