@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .words import mix64, shingle_sets
-from .workspace import discard, new_path, release_shuffles, stage
+from .workspace import ROW, discard, keyed, new_path, release_shuffles, stage
 
 CLASSES = 32
 RING = 1.25
@@ -496,10 +496,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those of a component other than its first; ids must be unique."""
-    keep = jaccard_components(docs, width, percent, id_col, text_col)
-    keep = keep.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each component: that of the smallest id, null ids last, any one of equal ids. Blank texts all stay."""
+    rows = keyed(docs, "jaccard-rows")
+    found = jaccard_components(rows, width, percent, ROW, text_col)
+    # the join goes by row, as ids may be null or repeated
+    ids = rows.select(F.col(ROW).alias("doc_id"), F.col(id_col).cast("long").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id")))
+    keep = stage(found.join(ids, "doc_id").groupBy("component_id").agg(first.alias("_first")).select(F.col("_first.doc_id").alias(ROW)), "jaccard-kept")
+    del found, ids
+    release_shuffles(docs.sparkSession)
+    return rows.join(keep, ROW, "left_semi").select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 QUERY = "op4_jaccard_metric_join"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sharding import prefix_sums, ranged
-from .workspace import parallelism, stage
+from .workspace import ROW, keyed, parallelism, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's place in code-point order, repeating.
@@ -94,15 +94,21 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, passes, position (of its first pass), next_position."""
+    """One row per document: doc_id, size, source_size, target, taken, passes, position (of its first pass), next_position.
+
+    ``row_col`` names a column that tells rows apart; it orders those alike in id and size, and stays.
+    """
+    row = [] if row_col is None else [row_col]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("_source"),
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_order"),
+        *row,
     )
-    order = ["_source", "_order", "size"]
+    order = ["_source", "_order", "size", *row]
     parts = ranged(rows, order, "mix-ranges")
     goals = targets(parts.groupBy("_source").agg(F.sum("size").alias("_source_size")), ratio, max_repeats, weights)
     goals = stage(goals, "mix-targets")
@@ -119,18 +125,21 @@ def mix(
         (F.col("size") * F.col("passes")).alias("taken"),
         "passes",
         F.array(*[F.when(F.col("passes") > p, at(p)) for p in range(max_repeats)]).alias("positions"),
+        *row,
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The training mix: rows of ``docs`` as often as they are taken, range-sorted by position, with the columns of ``docs``.
 
-    Ids must be unique, as a row's plan is joined to it by id.
+    A row's plan is joined to it by a key of the row, as ids may be null or repeated.
     """
-    plan = mix(docs, id_col=id_col, **options)
-    plan = plan.where("passes > 0").select(F.col("doc_id").alias("_mix_id"), F.explode(F.filter("positions", lambda x: x.isNotNull())).alias("_mix_at"))
-    rows = docs.join(plan, F.col(id_col) == F.col("_mix_id"))
-    return rows.repartitionByRange(parallelism(docs.sparkSession), "_mix_at", id_col).sortWithinPartitions("_mix_at", id_col).drop("_mix_id", "_mix_at")
+    rows = keyed(docs, "mix-rows")
+    plan = mix(rows, id_col=id_col, row_col=ROW, **options)
+    plan = plan.where("passes > 0").select(ROW, F.explode(F.filter("positions", lambda x: x.isNotNull())).alias("_mix_at"))
+    out = rows.join(plan, ROW)
+    order = ["_mix_at", id_col, ROW]
+    return out.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_mix_at", ROW)
 
 
 QUERY = "op9_curriculum_mix"

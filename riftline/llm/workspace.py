@@ -14,6 +14,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Names a row of a ``keyed`` table.
+ROW = "_row_key"
 
 _local: list[str] = []
 
@@ -43,6 +47,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, label: str) -> DataFrame:
+    """``df`` in a written table with ``ROW``, a number unique whatever the other columns hold, the same each time it is read."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df = df.withColumn(ROW, F.monotonically_increasing_id())
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,8 +1,11 @@
 """The pipeline's stages on small tables, each against a plain version."""
 
+from collections import Counter
+
 import corpus_pipeline
-from riftline.llm import secrets, workspace
+from riftline.llm import jaccard, mixing, secrets, workspace
 
+from .common import odd
 from .test_jaccard import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -35,3 +38,26 @@ def test_run_is_the_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def documents(*rows):
+    return [(i, t, "en", "a", len(t or "")) for i, t in rows]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{j}" for j in range(12)) for k in "abc")
+    rows = documents((None, a), (None, a), (7, a), (7, a), (None, b), (None, b), (3, ""), (3, ""), (None, None), (7, c))
+    out = jaccard.one_of_each(odd(spark, rows).repartition(3))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == {(7, a): 1, (None, b): 1, (3, ""): 2, (None, None): 1, (7, c): 1}
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = documents(*[(None, f"null {k} x y z") for k in range(8)], *[(5, f"five {k} x y z") for k in range(8)], *[(9, "all alike here")] * 4)
+    docs = odd(spark, rows)
+    out = mixing.mixed_documents(docs)
+    taken = Counter(r.text for r in out.collect())
+    assert out.columns == docs.columns
+    # each text as often as its row is planned, and by pass: 1.5 times all words
+    assert sum(taken.values()) == sum(r.passes for r in mixing.mix(docs).collect())
+    assert all(n <= 2 for t, n in taken.items() if t != "all alike here") and taken["all alike here"] <= 8
+    assert any(t.startswith("null") for t in taken) and abs(sum(len(t.split()) * n for t, n in taken.items()) - 1.5 * 92) <= 5
