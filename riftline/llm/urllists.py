@@ -22,9 +22,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Host labels looked at, from the right: a name has no more than a few.
-LABELS = 6
-
 
 def host_of(url):
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -42,9 +39,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 def keys_of(host):
     """The host and its parent domains of two labels or more, the host first."""
     labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(LABELS))
+    n = F.size(labels)
     lengths = F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1))).otherwise(F.array(n))
-    return F.transform(lengths, lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    return F.transform(lengths, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:

@@ -156,6 +156,17 @@ def test_as_of_join(spark):
     assert urllists.evaluate(df, entries.limit(0), "id", "link", "day").where("verdict <> 'pass'").count() == 0
 
 
+def test_hosts_of_many_labels(spark):
+    deep = ".".join(f"l{k}" for k in range(120)) + ".bad.com"
+    seven = "a.b.c.d.e.bad.com"
+    entries = spark.createDataFrame([(seven, 0, "review"), ("bad.com", 0, "block"), (deep, 0, "review"), (deep[3:], 0, "block")], "entry_key string, at int, verdict string")
+    captures = [(1, f"http://{seven}/x", 1), (2, f"http://z.{seven}", 1), (3, f"http://{deep}", 1), (4, "http://" + deep.replace("l0.", "q."), 1), (5, "http://q.b.c.d.e.bad.com", 1)]
+    out = urllists.evaluate(spark.createDataFrame(captures, "id long, link string, day int"), entries, "id", "link", "day").collect()
+    assert {r.capture_id: (r.entry_key, r.verdict) for r in out} == {
+        1: (seven, "review"), 2: (seven, "review"), 3: (deep, "review"), 4: (deep[3:], "block"), 5: ("bad.com", "block"),
+    }
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 
