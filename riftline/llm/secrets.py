@@ -38,8 +38,15 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Shortest decoded structure looked at: 24 base64 characters or 48 hex digits.
 RUN64, RUNHEX = 24, 48
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{32,})-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN64)
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:\s|\\[rn])*+(?:[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+(?:\\r)?(?:\n|\\n))++)?)([A-Za-z0-9+/=\s\\]{32,})-----END \1-----"
+)
+#: Headers of a PEM body that is enciphered as a whole.
+ENCIPHERED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED.*DEK-Info:\s*[A-Za-z0-9-]+,\s*[0-9A-Fa-f]{16,32}(?![0-9A-Fa-f])", re.DOTALL)
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN64)
+#: Base64 over several lines, whose breaks may be written as escapes.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[\x20\t]*+(?:\\r)?\r?(?:\n|\\n)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}" % RUN64)
+LINE = re.compile(r"(?:\\r)?\\n|[A-Za-z0-9+/_-]+")
 LONGHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{%d,}" % RUNHEX)
 
 
@@ -71,7 +78,7 @@ def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, SEC1 or PKCS#8 private keys and SubjectPublicKeyInfo, by nested lengths."""
+    """PKCS#1, SEC1 or PKCS#8 private keys, enciphered ones and SubjectPublicKeyInfo, by nested lengths."""
     outer = der_fields(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -83,6 +90,8 @@ def is_der_key(data: bytes) -> bool:
         return bool((alg := der_fields(inner[1][1])) and alg[0][0] == 0x06)
     if tags[:2] == [0x02, 0x04]:  # SEC1: version 1, private scalar
         return inner[0][1] == b"\x01" and len(inner[1][1]) >= 16
+    if tags == [0x30, 0x04]:  # EncryptedPrivateKeyInfo: algorithm, enciphered key
+        return bool((alg := der_fields(inner[0][1])) and alg[0][0] == 0x06)
     if tags[:2] == [0x30, 0x03]:  # public key: algorithm, bit string
         return bool((alg := der_fields(inner[0][1])) and alg[0][0] == 0x06)
     return len(inner) >= 6 and set(tags) == {0x02}  # PKCS#1 and DSA: integers only
@@ -129,6 +138,58 @@ def kind_of(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def ssh_sizes(text: str, start: int) -> list[int]:
+    """Bytes after which an OpenSSH key that starts at this place of base64 may end."""
+    magic, head = b"openssh-key-v1\0", decode64(text[start : start + 64]) or b""
+    if not head.startswith(magic) and not re.match(rb"\0\0\0.(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)", head, re.DOTALL):
+        return []
+    # one character over is no byte
+    stop = len(text) - ((len(text) - start) % 4 == 1)
+    data, ends = decode64(text[start:stop]) or b"", []
+    at, left = (len(magic), 3) if head.startswith(magic) else (0, len(data))
+    while left and at + 4 <= len(data):
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if at > len(data):
+            break
+        ends.append(at)
+        if len(ends) == 3 and head.startswith(magic):  # so many public keys and one private part
+            left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+    return ends[-1:] if head.startswith(magic) and not left and len(ends) > 4 else [] if head.startswith(magic) else ends
+
+
+def wrapped_keys(m: re.Match) -> list[tuple[str, int, int]]:
+    """Keys that start with a line of a ``WRAPPED`` match and end with a later one."""
+    lines = [x for x in LINE.finditer(m.string, m.start(), m.end()) if x[0][0] != "\\"]
+    text = "".join(x[0] for x in lines)
+    ends, at = [], 0
+    for x in lines:
+        at += len(x[0])
+        ends.append(at)
+    line_at, out, done = {e: k for k, e in enumerate(ends)}, [], -1
+    for k, x in enumerate(lines[:-1]):
+        start = ends[k] - len(x[0])
+        if k <= done or not x[0].startswith(("M", "AAAA", "b3BlbnNzaC1r")):
+            continue
+        if x[0][0] == "M":  # the length is in the first bytes
+            head = decode64(text[start : start + 8]) or b""
+            if len(head) < 6:
+                continue
+            width = head[1] & 0x7F if head[1] & 0x80 else 0
+            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+            sizes = [size] if width <= 4 else []
+        else:
+            sizes = ssh_sizes(text, start)
+        for last in (line_at.get(start - (-size * 4 // 3)) for size in reversed(sizes)):
+            if last is not None and last > k and (kind := kind_of(decode64(text[start : ends[last]]))):
+                end = lines[last].end()
+                while end < len(m.string) and m.string[end] == "=":
+                    end += 1
+                out.append((kind, x.start(), end))
+                done = last
+                break
+    return out
+
+
 def is_token(header: str, payload: str) -> bool:
     try:
         head = json.loads(decode64(header) or b"")
@@ -160,11 +221,15 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         for m in BASE64.finditer(text):
             if kind := kind_of(decode64(m[0])):
                 more.append((kind, m.start(), m.end()))
+        for m in WRAPPED.finditer(text):
+            more += wrapped_keys(m)
     if "eyJ" in text:
         more += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if kind_of(decode64(re.sub(r"\s|\\n", "", m[2]))):
+            body = decode64(re.sub(r"\s|\\[rn]", "", m[3]))
+            # what is enciphered has no structure but whole blocks
+            if kind_of(body) or (body and len(body) % 8 == 0 and ENCIPHERED.search(m[2])):
                 more.append(("pem", m.start(), m.end()))
     rank = {k: i for i, k in enumerate(BASE_KINDS)}
     base.sort(key=lambda s: (s[1], rank[s[0]]))

@@ -97,6 +97,45 @@ def test_broken_structures_are_not():
     assert kinds("deadbeef" * 8)[1] == []
 
 
+OID = der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
+LOCKED = der(0x30, der(0x30, OID + der(0x30, b"")) + der(4, bytes(range(160))))
+
+
+lengths = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+CONTAINER = b"openssh-key-v1\0" + lengths(b"none", b"none", b"") + b"\0\0\0\1" + lengths(SSH, b"p" * 101)
+
+
+def wrap(text, end="\n", width=64):
+    return end.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("before", ["PRIVATE_KEY=", "https://x.org/?k=", "a==", "k: "])
+def test_keys_after_an_equals_sign(before):
+    assert secrets.scan(f"{before}{b64(RSA)} end")[1] == [("der", len(before), len(before) + len(b64(RSA)))]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n"])
+@pytest.mark.parametrize("data, kind", [(RSA, "der"), (LOCKED, "der"), (SSH + lengths(b"c" * 40), "ssh"), (CONTAINER, "ssh")])
+def test_wrapped_keys(data, kind, end):
+    body = wrap(b64(data), end)
+    for before, after in (("", ""), ("Key=", end + "word"), ("f" * 64 + end, "\nmore words")):
+        text = before + body + after
+        assert (kind, len(before), len(before + body)) in secrets.scan(text)[1]
+        assert secrets.redact(text).count("[SECRET]") >= 1 and body not in secrets.redact(text)
+    if kind == "der":
+        assert secrets.scan(wrap(b64(data[:-3] + b"\xff" * 5), end))[1] == []
+
+
+def test_pem_headers_and_enciphered_keys():
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    pem = lambda name, body: f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+    assert kinds(pem("RSA PRIVATE KEY", head + wrap(b64(bytes(range(80))))))[1] == ["pem"]
+    assert kinds(pem("RSA PRIVATE KEY", "Comment: mine\n" + wrap(b64(RSA))))[1] == ["pem", "der"]
+    assert "pem" in kinds(pem("ENCRYPTED PRIVATE KEY", wrap(b64(LOCKED))))[1]
+    assert kinds(b64(LOCKED))[1] == ["der"]
+    assert kinds(pem("RSA PRIVATE KEY", head + wrap(b64(bytes(range(81))))))[1] == []
+
+
 def reference(text):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
