@@ -219,14 +219,18 @@ def _(spark, sf_dir):
     return N.auto_block_length(series, segs, WIDTH)
 
 
+#: Replicates of the published nulls.
+REPLICATES = 199
+
+
 @query("three_rules")
 def _(spark, sf_dir):
     """Change points by a fixed quantile, a permutation null and a block null, from one statistic."""
     series = src.events(spark, sf_dir)
     stat = W.metric_derivative(series, WIDTH)
     fixed = T.quantile_cutoffs(stat, [LEVEL])
-    shuffle = N.pointwise_cutoff(N.null_statistics(N.permuted(series, 3), WIDTH), 0.5)
-    blocks = N.pointwise_cutoff(N.null_statistics(N.block_bootstrap(series, 3, 10), WIDTH), 0.5)
+    shuffle = N.pointwise_cutoff(N.null_statistics(N.permuted(series, REPLICATES), WIDTH), 0.5)
+    blocks = N.pointwise_cutoff(N.null_statistics(N.block_bootstrap(series, REPLICATES, 10), WIDTH), 0.5)
     out = [T.change_points(stat, c.select("series_id", "q", "cutoff")).withColumn("rule", F.lit(r)) for r, c in (("fixed", fixed), ("shuffle", shuffle), ("block", blocks))]
     return out[0].union(out[1]).union(out[2])
 

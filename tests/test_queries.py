@@ -39,3 +39,19 @@ def test_query_agrees_with_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_three_rules_run_all_replicates(spark, monkeypatch):
+    seen = {}
+
+    def spy(name, make):
+        def counted(series, count, *args):
+            seen[name] = count
+            return make(series, count, *args)
+
+        return counted
+
+    for name in ("permuted", "block_bootstrap"):
+        monkeypatch.setattr(catalog.N, name, spy(name, getattr(catalog.N, name)))
+    catalog.QUERIES["three_rules"](spark, DATA)
+    assert seen == {"permuted": 199, "block_bootstrap": 199}
