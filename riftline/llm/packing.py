@@ -8,8 +8,11 @@ left or nothing is open.
 
 After a best-fit round two bins of one group never fit together, so each group
 has at most one bin that is half full or less; every merge uses up such a bin.
-The number of merges over the whole tree is therefore below the number of
-round-0 packs, which bounds the table that moves bins to their final place.
+So the merges over the whole tree are fewer than the round-0 packs, which bounds
+the table that moves bins to their final place; and a round of a group can use
+of each fill at most as many bins as packs (at first) or groups (later) meet in
+it. More of them than that stay out of the round: it would end the same with
+them, and a task holds at most so many bins for each of ``capacity`` fills.
 
 Only lengths take part; texts are tokenized once and never shuffled.
 
@@ -25,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import default_path, encoder, texts_by_size
@@ -35,6 +38,8 @@ CAPACITY = 4096
 #: Pieces packed together in round 0: bounds a task's memory.
 PACK = 200_000
 FAN_IN = 16
+#: Bits of a bin's number for its place in its pack, and for the pack in its partition; the partition has the rest.
+BIN_BITS, PACK_BITS = 22, 20
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +82,9 @@ def cut_and_pack(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
             names = list(held[0])
             cols = {k: pa.concat_arrays([h[k] for h in held]) if k == "doc_id" else np.concatenate([h[k] for h in held]) for k in names}
             bins, offsets, fills = best_fit(cols["length"], capacity)
-            cols |= {"_bin": ((part << 8 | packs) << 32) | bins, "_offset": offsets, "_fill": fills[bins]}
+            if len(fills) >> BIN_BITS or packs >> PACK_BITS or part >> (63 - BIN_BITS - PACK_BITS):
+                raise ValueError("too many sequences, packs or partitions for the numbers of bins")
+            cols |= {"_bin": ((part << PACK_BITS | packs) << BIN_BITS) | bins, "_offset": offsets, "_fill": fills[bins]}
             return pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], list(cols))
 
         for batch in it:
@@ -107,8 +114,10 @@ def cut_and_pack(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
 def merge_open(bins: DataFrame, capacity: int, fan_in: int) -> DataFrame:
     """Where bins of round 0 end up: _bin, _root, _shift."""
     # _bin: a bin of round 0; _root, _shift: where it is now; _group: first its partition
-    live = bins.select("_bin", F.col("_bin").alias("_root"), F.lit(0).cast("long").alias("_shift"), "_fill", F.shiftright("_bin", 40).alias("_group"))
+    live = bins.select("_bin", F.col("_bin").alias("_root"), F.lit(0).cast("long").alias("_shift"), "_fill", F.shiftright("_bin", BIN_BITS + PACK_BITS).alias("_group"))
     low, high = 0, 1
+    packs = live.agg(F.max(F.shiftright("_bin", BIN_BITS).bitwiseAND(F.lit((1 << PACK_BITS) - 1)))).first()[0]
+    half_full = fan_in * ((packs or 0) + 1)  # bins that are half full or less in a group of this round, at most
     while low < high:
         least, low, high = live.agg(F.min("_fill"), F.min("_group"), F.max("_group")).first()
         if least is None:
@@ -117,6 +126,9 @@ def merge_open(bins: DataFrame, capacity: int, fan_in: int) -> DataFrame:
         low, high = low // fan_in, high // fan_in
         # A bin too full for the smallest one left takes no further part; the table keeps it, as others may be in it.
         open_bins = live.where(F.col("_bin") == F.col("_root")).where(F.col("_fill") + F.lit(least) <= capacity)
+        alike = F.row_number().over(Window.partitionBy("_group", "_fill").orderBy("_root"))
+        open_bins = open_bins.withColumn("_k", alike).where(F.col("_k") <= half_full)
+        half_full = fan_in
 
         def fit(table):
             roots, fills = table.column("_root").to_numpy(), table.column("_fill").to_numpy()

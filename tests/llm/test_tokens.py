@@ -62,7 +62,7 @@ def test_shards_round_trip(spark, encode):
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in wavelet.read_shards(manifest).collect()))
     assert manifest.count() > 1 and len(got) == len(rows)
     at, want = 0, []
-    for known, doc, text in sorted((r[0] is not None, r[0] or 0, r[1]) for r in rows if r[1] is not None or True) if False else sorted(((r[0] is not None, r[0] or 0, r[1]) for r in rows), key=lambda x: (x[0], x[1], x[2] or "")):
+    for known, doc, text in sorted(((r[0] is not None, r[0] or 0, r[1]) for r in rows), key=lambda x: (x[0], x[1], x[2] or "")):
         ids = np.array(encode(text), "<u4")
         want.append((known, doc, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -77,11 +77,44 @@ def test_no_documents(spark):
     assert packing.pack(empty).count() == 0
 
 
-def test_best_fit():
-    bins, offsets, fills = packing.best_fit(np.array([5, 4, 3, 3, 3, 2]), 10)
-    assert sorted(fills.tolist()) == [10, 10] and len(offsets) == 6
-    sums = np.bincount(bins, [5, 4, 3, 3, 3, 2])
-    assert (sums == fills).all()
+def plain_best_fit(lengths, capacity):
+    """The fullest bin that has room, longest items first: the fills."""
+    fills = []
+    for size in sorted(lengths, reverse=True):
+        fitting = [k for k, f in enumerate(fills) if f + size <= capacity]
+        if fitting:
+            fills[max(fitting, key=lambda k: fills[k])] += size
+        else:
+            fills.append(size)
+    return sorted(fills)
+
+
+@pytest.mark.parametrize("capacity", [10, 64, 4096])
+def test_best_fit(capacity):
+    rng = np.random.default_rng(capacity)
+    for count in (1, 6, 300):
+        lengths = rng.integers(1, capacity + 1, count) if count != 6 else np.array([5, 4, 3, 3, 3, 2])
+        bins, offsets, fills = packing.best_fit(lengths, capacity)
+        assert sorted(fills.tolist()) == plain_best_fit(lengths.tolist(), capacity)
+        assert (np.bincount(bins, lengths) == fills).all()
+        for b in range(len(fills)):  # gapless
+            order = np.argsort(offsets[bins == b])
+            assert (offsets[bins == b][order] == np.cumsum(lengths[bins == b][order]) - lengths[bins == b][order]).all()
+
+
+def test_bins_that_cannot_be_used_stay_out_of_a_round(spark):
+    """Of alike bins a group's round takes no more than it has bins half full or less."""
+    group = lambda k: k << (packing.BIN_BITS + packing.PACK_BITS)
+    rows = [(group(g) | b, 90 if b else 8) for g in range(4) for b in range(50)]
+    moved = packing.merge_open(spark.createDataFrame(rows, "_bin long, _fill long"), 100, 2).collect()
+    where = {r["_bin"]: (r["_root"], r["_shift"]) for r in moved}
+    fills = dict(rows)
+    sums = {}
+    for b, (root, shift) in where.items():
+        sums.setdefault(root, []).append((shift, fills[b]))
+    assert len(where) == 200 and len(sums) == 196  # each of the four small ones found room
+    for parts in sums.values():
+        assert sum(f for _, f in parts) <= 100 and [s for s, _ in sorted(parts)] == [0, *np.cumsum([f for _, f in sorted(parts)])[:-1]]
 
 
 @pytest.mark.parametrize("partitions, fan_in, capacity", [(1, 16, 4096), (7, 2, 64), (9, 3, 16)])
