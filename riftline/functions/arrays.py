@@ -15,23 +15,6 @@ def squared_gap(a: Column, b: Column) -> Column:
     return sum_of(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)))
 
 
-def sorted_w2(a: Column, b: Column) -> Column:
-    """2-Wasserstein distance of two equally large samples."""
-    return F.sqrt(squared_gap(F.array_sort(a), F.array_sort(b)) / F.size(a))
-
-
-def circle_w2(a: Column, b: Column) -> Column:
-    """2-Wasserstein distance on the circle of length one of two equally large samples in [0, 1).
-
-    An optimal plan is monotone up to a cyclic shift, so the least mean squared
-    gap over shifts from -n to n, with values past the end wrapped by one, is exact.
-    """
-    p, q, n = F.array_sort(a), F.array_sort(b), F.size(a)
-    longer = F.concat(F.transform(q, lambda v: v - 1.0), q, F.transform(q, lambda v: v + 1.0))
-    shifts = F.transform(F.sequence(F.lit(0), F.lit(2) * n), lambda k: squared_gap(p, F.slice(longer, k + 1, n)) / n)
-    return F.sqrt(F.array_min(shifts))
-
-
 def quantile_at(ordered: Column, level: Column) -> Column:
     """Value of a sorted sample at ``level * n - 1/2``, linear between neighbours and clamped at the ends."""
     n = F.size(ordered)

@@ -49,54 +49,87 @@ def large_quantile_cutoffs(stat: DataFrame, levels: list[float], bins: int = 409
     return found.groupBy("series_id", "q").agg(F.round(value, 9).alias("cutoff"))
 
 
-def candidates(stat: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Members of kept runs, their last one marked: the gradient, run (its first t) and run_end."""
-    rows = gradient(stat).join(F.broadcast(cutoffs), "series_id").where("g > cutoff")  # a row a series and level
-    key = ["series_id", "q"]
+RUN = ["series_id", "q"]
+#: What a boundary rule reads of a run's body (its members but the last), as least values of structs.
+READS = {
+    "first_fall": ("grad", "t"),
+    "first_rise": ("-grad", "t"),
+    "peak": ("-g", "t"),
+}
+
+
+def pieces(stat: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Islands of candidates inside chunks: _c, _island, run, run_end, and for each read its value with and without the last member."""
+    rows = gradient(stat).join(F.broadcast(cutoffs.select(*RUN, "cutoff")), "series_id").where("g > cutoff")  # a row a series and level
     rows = rows.withColumn("_c", F.floor(F.col("t") / CHUNK))
-    island = F.col("t") - F.row_number().over(Window.partitionBy(*key, "_c").orderBy("t"))
-    rows = rows.withColumn("_island", island)
-    local = rows.groupBy(*key, "_c", "_island").agg(F.min("t").alias("run"), F.max("t").alias("run_end"))
+    here = Window.partitionBy(*RUN, "_c").orderBy("t")
+    rows = rows.withColumn("_island", F.col("t") - F.row_number().over(here))
+    rows = rows.withColumn("_ends", F.coalesce(F.lead("t").over(here) != F.col("t") + 1, F.lit(True)))
+    out = [F.min("t").alias("run"), F.max("t").alias("run_end"), F.min("g").alias("low_all"), F.max("g").alias("high_all")]
+    body = ~F.col("_ends")
+    out += [F.min(F.when(body, F.col("g"))).alias("low_body"), F.max(F.when(body, F.col("g"))).alias("high_body")]
+    for name, (value, at) in READS.items():
+        pick = F.struct(F.expr(value).alias("v"), F.col(at).alias("t"))
+        out += [F.min(pick).alias(f"{name}_all"), F.min(F.when(body, pick)).alias(f"{name}_body")]
+    return rows.groupBy(*RUN, "_c", "_island").agg(*out)
+
+
+def joined_runs(local: DataFrame) -> DataFrame:
+    """Runs over all chunks: only islands that touch a border can go on, two in a chunk at most."""
     touches = (F.col("run") % CHUNK == 0) | (F.col("run_end") % CHUNK == CHUNK - 1)
-    along = Window.partitionBy(*key).orderBy("run")
+    along = Window.partitionBy(*RUN).orderBy("run")
     border = local.where(touches).withColumn("_new", F.coalesce((F.col("run") != F.lag("run_end").over(along) + 1).cast("int"), F.lit(1)))
     border = border.withColumn("_g", F.sum("_new").over(along))
-    whole = Window.partitionBy(*key, "_g")
-    border = border.select(*key, "_c", "_island", F.min("run").over(whole).alias("run"), F.max("run_end").over(whole).alias("run_end"))
-    runs = local.where(~touches).select(border.columns).union(border)
-    last = runs.groupBy(*key).agg(F.max("run").alias("_last"))
-    kept = runs.join(last, key).where("run_end > run and run < _last").drop("_last")
-    return rows.join(kept, [*key, "_c", "_island"]).drop("_island", "_c")
+    last = F.col("run_end") == F.max("run_end").over(Window.partitionBy(*RUN, "_g"))
+    least = {"low": F.min, "high": F.max, **dict.fromkeys(READS, F.min)}
+    whole = border.withColumn("_last", last).groupBy(*RUN, "_g").agg(
+        F.min("run").alias("run"),
+        F.max("run_end").alias("run_end"),
+        *[f(F.when(F.col("_last"), F.col(f"{name}_body")).otherwise(F.col(f"{name}_all"))).alias(name) for name, f in least.items()],
+    )
+    inner = local.where(~touches).select(*RUN, "run", "run_end", *[F.col(f"{name}_body").alias(name) for name in least])
+    return inner.unionByName(whole.drop("_g"))
+
+
+def runs_of(stat: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """series_id, q, run, run_end and the reads of every kept run."""
+    runs = joined_runs(pieces(stat, cutoffs))
+    last = F.max("run").over(Window.partitionBy(*RUN))  # one row a run
+    return runs.withColumn("_last", last).where("run_end > run and run < _last").drop("_last")
 
 
 def find_runs(stat: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """series_id, q, start, end of every kept run; ``end`` is its last member."""
-    rows = candidates(stat, cutoffs)
-    return rows.groupBy("series_id", "q", F.col("run").alias("start")).agg(F.max("run_end").alias("end"))
-
-
-def _edges(rows: DataFrame, rule: str) -> DataFrame:
-    """Two boundaries of each run (one for ``peak``), as an array column."""
-    body = rows.where("t < run_end")
-    by = ["series_id", "q", "run"]
-    if rule == "gradient":
-        return body.groupBy(*by).agg(
-            F.array(F.min(F.struct("grad", "t")).getField("t"), (-F.max(F.struct("grad", -F.col("t"))).getField("col2"))).alias("edges")
-        )
-    if rule == "run_edge":
-        return rows.groupBy(*by).agg(F.array(F.min("t"), F.max("t")).alias("edges"))
+    return runs_of(stat, cutoffs).select(*RUN, F.col("run").alias("start"), F.col("run_end").alias("end"))
+
+
+def members_of(stat: DataFrame, runs: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The candidates of each kept run, by an as-of pass in chunks: a run is repeated in every chunk it lies in."""
+    parts = runs.withColumn("_c", F.explode(F.sequence(F.floor(F.col("run") / CHUNK), F.floor(F.col("run_end") / CHUNK))))
+    marks = parts.withColumn("t", F.greatest("run", F.col("_c") * CHUNK)).withColumn("_run", F.struct("run", "run_end", "low", "high"))
+    rows = stat.select("series_id", "t", "g").join(F.broadcast(cutoffs.select(*RUN, "cutoff")), "series_id").where("g > cutoff")
+    rows = rows.select(*RUN, F.floor(F.col("t") / CHUNK).alias("_c"), "t", "g", F.lit(None).cast(marks.schema["_run"].dataType).alias("_run"))
+    both = rows.unionByName(marks.select(*RUN, "_c", "t", F.lit(None).cast("double").alias("g"), "_run"))
+    order = Window.partitionBy(*RUN, "_c").orderBy("t", F.col("_run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_r", F.last("_run", True).over(order)).where("g is not null and t <= _r.run_end")
+    return found.select(*RUN, "t", "g", "_r.*")
+
+
+def _edges(stat: DataFrame, cutoffs: DataFrame, rule: str) -> DataFrame:
+    """series_id, q, edges: two boundaries of each run (one for ``peak``)."""
+    if rule not in ("gradient", "run_edge", "half_max", "peak"):
+        raise ValueError(f"unknown boundary rule {rule!r}")
+    runs = runs_of(stat, cutoffs)
     if rule == "half_max":
-        run = Window.partitionBy(*by)
-        half = (F.min("g").over(run) + F.max("g").over(run)) / 2
-        return body.withColumn("_half", half).where("g >= _half").groupBy(*by).agg(F.array(F.min("t"), F.max("t")).alias("edges"))
-    if rule == "peak":
-        return body.groupBy(*by).agg(F.array(-F.max(F.struct("g", -F.col("t"))).getField("col2")).alias("edges"))
-    raise ValueError(f"unknown boundary rule {rule!r}")
+        body = members_of(stat, runs, cutoffs).where("t < run_end and g >= (low + high) / 2")
+        return body.groupBy(*RUN, "run").agg(F.array(F.min("t"), F.max("t")).alias("edges"))
+    edges = {"gradient": ("first_fall.t", "first_rise.t"), "run_edge": ("run", "run_end"), "peak": ("peak.t",)}[rule]
+    return runs.select(*RUN, "run", F.array(*edges).alias("edges"))
 
 
 def change_points(stat: DataFrame, cutoffs: DataFrame, rule: str = "gradient") -> DataFrame:
     """series_id, q, t: distinct boundaries; all rules but ``peak`` add 0 and T - 1."""
-    found = _edges(candidates(stat, cutoffs), rule).select("series_id", "q", F.explode("edges").alias("t"))
+    found = _edges(stat, cutoffs, rule).select("series_id", "q", F.explode("edges").alias("t"))
     if rule != "peak":
         ends = stat.groupBy("series_id").agg(F.max("n").alias("n")).join(cutoffs.select("series_id", "q"), "series_id")
         found = found.union(ends.select("series_id", "q", F.explode(F.array(F.lit(0).cast("long"), F.col("n") - 1)).alias("t")))

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions import arrays as A
+from pyspark.sql.types import StructType
 
 CHUNK = 1 << 14
 KEY = ["series_id", "_chunk"]
@@ -39,14 +38,82 @@ def _statistic(series: DataFrame, w: int, value) -> DataFrame:
     return rows.withColumn("g", g).where("_own").drop("_own", "_chunk")
 
 
+def sorted_windows(x, w: int):
+    """A row for each run of ``w`` samples, sorted."""
+    import numpy as np
+
+    return np.sort(np.lib.stride_tricks.sliding_window_view(x, w), axis=1)
+
+
+def line_gaps(x, w: int):
+    """W2 of the ``w`` samples before and from each place ``w``, ``w + 1`` ... that has so many on both sides."""
+    import numpy as np
+
+    s = sorted_windows(x, w)
+    return np.sqrt(((s[w:] - s[:-w]) ** 2).sum(1) / w)
+
+
+def circle_gaps(x, w: int):
+    """The same on the circle of length one, for samples in [0, 1).
+
+    An optimal plan is monotone up to a cyclic shift k of the sorted samples, the
+    values that pass the end wrapped by one. Cost(k) for all shifts at once: the
+    squares don't depend on the pairing but for wrapped values, and the products
+    are a circular correlation.
+    """
+    import numpy as np
+
+    s = sorted_windows(x, w)
+    a, b = s[:-w], s[w:]
+    longer = np.hstack([b - 1, b, b + 1])
+    squares = np.cumsum(np.hstack([np.zeros((len(b), 1)), longer**2]), axis=1)
+    best = np.full(len(a), np.inf)
+    own = (a * a).sum(1)
+    for k in range(2 * w + 1):
+        cost = own + squares[:, k + w] - squares[:, k] - 2 * np.einsum("ij,ij->i", a, longer[:, k : k + w])
+        np.minimum(best, cost, out=best)
+    return np.sqrt(np.maximum(best, 0) / w)
+
+
+#: Samples sorted at a time: bounds a task's memory at some times this many doubles.
+SORTED = 1 << 21
+
+
 def metric_derivative(series: DataFrame, w: int, periodic: bool = False) -> DataFrame:
-    """W2 of the ``w`` samples before and from each ``t``; 0 in the first and last ``w`` places. Adds ``g``."""
-    distance = A.circle_w2 if periodic else A.sorted_w2
-    rows = chunked(series, w)
-    left, right = frames(w)
-    rows = rows.withColumn("_l", F.collect_list("x").over(left)).withColumn("_r", F.collect_list("x").over(right))
-    g = F.when(inside(w), F.round(distance(F.col("_l"), F.col("_r")), 9)).otherwise(F.lit(0.0))
-    return rows.where("_own").withColumn("g", g).drop("_own", "_chunk", "_l", "_r")
+    """W2 of the ``w`` samples before and from each ``t``; 0 in the first and last ``w`` places. Adds ``g``, ``grad``.
+
+    A window is sorted once, as the right one of its first place and the left one
+    of the place after it, for a chunk at a time in one array operation. ``grad``:
+    central differences of ``g``, one-sided at the ends. A null sample makes the
+    statistic of the places that see it NaN.
+    """
+    gaps = circle_gaps if periodic else line_gaps
+    rows = chunked(series.select("series_id", "t", F.col("x").cast("double").alias("x"), "n"), w + 1)
+
+    def kernel(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("t")
+        x, t, own = (table.column(c).to_numpy() for c in ("x", "t", "_own"))
+        n = int(table.column("n")[0].as_py())
+        g = np.zeros(len(x))
+        step = max(1, SORTED // w)
+        for lo in range(w, len(x) - w + 1, step):
+            hi = min(lo + step, len(x) - w + 1)
+            g[lo:hi] = np.round(gaps(x[lo - w : hi + w - 1], w), 9)
+        g[(t < w) | (t >= n - w)] = 0.0
+        keep = np.flatnonzero(own)
+        if n > 1:
+            before, after = np.maximum(keep - 1, 0), np.minimum(keep + 1, len(x) - 1)
+            grad = (g[after] - g[before]) / np.maximum(after - before, 1)
+        else:
+            grad = np.zeros(len(keep))
+        kept = table.select(["series_id", "t", "x", "n"]).take(pa.array(keep))
+        return kept.append_column("g", pa.array(g[keep])).append_column("grad", pa.array(grad))
+
+    out = StructType([series.schema["series_id"], *StructType.fromDDL("t long, x double, n long, g double, grad double")])
+    return rows.groupBy(*KEY).applyInArrow(kernel, out)
 
 
 def mean_shift(series: DataFrame, w: int) -> DataFrame:
@@ -64,7 +131,9 @@ def statistic(kind: str, series: DataFrame, w: int) -> DataFrame:
 
 
 def gradient(stat: DataFrame, column: str = "g", out: str = "grad") -> DataFrame:
-    """Central differences, one-sided at the ends."""
+    """Central differences, one-sided at the ends, for a statistic that has none yet."""
+    if out in stat.columns:
+        return stat
     rows = chunked(stat, 1)
     order = Window.partitionBy(*KEY).orderBy("t")
     before, after = F.lag(column).over(order), F.lead(column).over(order)

@@ -17,6 +17,7 @@ from ..operators import segments as S
 from ..operators import thresholds as T
 from ..operators import windows as W
 from ..sources import series as src
+from ..staging import staged
 from . import sqltext as Q
 
 WIDTH, LEVEL = 25, 0.75
@@ -47,16 +48,21 @@ def stat_of(spark, sf_dir, w=WIDTH):
     return W.metric_derivative(src.events(spark, sf_dir), w)
 
 
+def stat_table(spark, sf_dir, w=WIDTH):
+    """The statistic, written once: cutoffs, runs and ends read it again."""
+    return staged(stat_of(spark, sf_dir, w), "statistic")
+
+
 def cut_points(spark, sf_dir, levels, rule="gradient"):
-    stat = stat_of(spark, sf_dir)
+    stat = stat_table(spark, sf_dir)
     return T.change_points(stat, T.quantile_cutoffs(stat, levels), rule)
 
 
 def cut_segments(spark, sf_dir, append_end=False, level=LEVEL):
-    series = src.events(spark, sf_dir)
-    stat = W.metric_derivative(series, WIDTH)
+    """The series and its segments, both from one written table."""
+    stat = stat_table(spark, sf_dir)
     points = T.change_points(stat, T.quantile_cutoffs(stat, [level]))
-    return series, T.segments(points, series, append_end)
+    return stat.select("series_id", "t", "x", "n"), T.segments(points, stat, append_end)
 
 
 # --- windowed statistics ------------------------------------------------------
@@ -104,7 +110,7 @@ def _(spark, sf_dir):
     FROM stat JOIN cut ON stat.series_id = cut.series_id WHERE t >= 25 AND t < n - 25 GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    stat = stat_of(spark, sf_dir)
+    stat = stat_table(spark, sf_dir)
     return rounded(W.observed_quantile(stat, T.quantile_cutoffs(stat, LEVELS), WIDTH), "obs_quantile")
 
 
@@ -144,7 +150,7 @@ def _(spark, sf_dir):
 
 @query("runs", f"WITH {Q.points(25, LEVELS)} SELECT DISTINCT series_id, q, run AS start, run_end AS \"end\" FROM cand")
 def _(spark, sf_dir):
-    stat = stat_of(spark, sf_dir)
+    stat = stat_table(spark, sf_dir)
     return T.find_runs(stat, T.quantile_cutoffs(stat, LEVELS))
 
 
@@ -157,7 +163,7 @@ for _rule in ("gradient", "run_edge", "half_max", "peak"):
     f"WITH {Q.points(25, LEVELS)} SELECT series_id, q, count(*) AS n_segments FROM cps GROUP BY series_id, q",
 )
 def _(spark, sf_dir):
-    stat = stat_of(spark, sf_dir)
+    stat = stat_table(spark, sf_dir)
     points = T.change_points(stat, T.quantile_cutoffs(stat, LEVELS))
     return T.segments(points, stat, append_end=True).groupBy("series_id", "q").agg(F.count("*").alias("n_segments"))
 
@@ -226,8 +232,8 @@ REPLICATES = 199
 @query("three_rules")
 def _(spark, sf_dir):
     """Change points by a fixed quantile, a permutation null and a block null, from one statistic."""
-    series = src.events(spark, sf_dir)
-    stat = W.metric_derivative(series, WIDTH)
+    stat = stat_table(spark, sf_dir)
+    series = stat.select("series_id", "t", "x", "n")
     fixed = T.quantile_cutoffs(stat, [LEVEL])
     shuffle = N.pointwise_cutoff(N.null_statistics(N.permuted(series, REPLICATES), WIDTH), 0.5)
     blocks = N.pointwise_cutoff(N.null_statistics(N.block_bootstrap(series, REPLICATES, 10), WIDTH), 0.5)
