@@ -18,16 +18,26 @@ nothing; so pivots of three kinds are used, each with its triangle inequality.
    Inside a region, distances to ``CLASSES`` fixed pivots (hash classes of the
    universe) bound the symmetric difference from below and cut off all pairs
    that can't link; what remains gives clusters, and every link lies inside one.
-3. Clusters. Here pivots are documents: those within the link radius r of a pivot
-   are linked to it, each set belongs to the region of its nearest pivot, and is
+3. Clusters. Here pivots are documents. A cluster that outgrows a block is cut by
+   rounds of the plan: some of its sets are pivots, and sets within the link radius
+   r of a pivot are linked to it. Pivots that share such a set have one region, of
+   the sets linked to them, which need not be compared with each other any more.
+   A set x outside is replicated into a region (its window) if it is within 2 r of
+   one of the region's pivots p: for y in the region d(x, y) <= r and d(y, p) <= r
+   give d(x, p) <= 2 r. What no pivot reaches is left for the next round, with
+   pivots of its own, until it fits a block; so a group of near copies costs its
+   size times the pivots, and not its square. Where a round reaches few sets, what
+   is left is a loose crowd, and its sets are compared inside the regions of step 2
+   that they share.
+   Inside a block each set belongs to the region of its nearest pivot, and is
    replicated to region j while d(x, p_j) <= d(x, p_nearest) + 2 r, without which
    no set of region j can be within r. Regions are joined recursively; small ones
    by counting common shingles of all their pairs.
 
-Equal sets are one point throughout. Regions and clusters that outgrow a block
-are cut into blocks, and each pair of blocks is a task; a task returns a
-spanning forest of the links it found, never all pairs. Components of the
-forests' union are the components of all links.
+Equal sets are one point throughout. What still outgrows a block is cut into
+blocks, and each pair of blocks is a task; a task returns a spanning forest of
+the links it found, never all pairs. Components of the forests' union are the
+components of all links.
 
 Map tasks combine: of the sets of one task that fall into the same region only
 one travels to find further members elsewhere, so a hot region costs a row per
@@ -47,9 +57,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import with_maybe
 from .components import components
 from .words import mix64, shingle_sets
-from .workspace import ROW, discard, keyed, new_path, release_shuffles, stage
+from .workspace import Scratch, fresh, keyed, release_shuffles, stage
 
 CLASSES = 32
 RING = 1.25
@@ -61,6 +72,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 1_500_000
 LEAF = 192
 PIVOTS = 8
+#: Pivots of a cluster in a round of the plan, and rounds before what is left is cut into blocks.
+ROUND_PIVOTS, ROUNDS = 24, 3
 
 U = np.uint64
 
@@ -338,11 +351,43 @@ def region_forests(threshold: Threshold):
     return batches
 
 
+def region_groups(threshold: Threshold):
+    """(sig, i, j, h, n, sketch), sorted by the first three -> (cluster, h): inside each region, the sets that may link, under their least name.
+
+    A set's regions hold much the same sets; by their least one they fall together.
+    """
+
+    def batches(it):
+        for table, borders in whole_groups(it, 3):
+            h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
+            flat = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+            names, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(borders[:-1], borders[1:]):
+                if hi - lo < 2:
+                    continue
+
+                def may(i, j, lo=lo):
+                    return np.abs(flat[lo + i] - flat[lo + j]).sum(-1) <= threshold.most_apart(n[lo + i] + n[lo + j])
+
+                label = np.arange(hi - lo)
+                for i, j in forest(hi - lo, may):
+                    label[label == label[j]] = label[i]
+                _, label, size = np.unique(label, return_inverse=True, return_counts=True)
+                least = np.full(len(size), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, h[lo:hi])
+                keep = size[label] > 1
+                names.append(least[label[keep]])
+                sets.append(h[lo:hi][keep])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(sets))], ["cluster", "h"])
+
+    return batches
+
+
 class Metric:
     """The links among a few sets: rows of ``sizes``, shingles one after another in ``h``."""
 
-    def __init__(self, sizes: np.ndarray, h: np.ndarray, threshold: Threshold):
-        self.sizes, self.threshold = sizes, threshold
+    def __init__(self, sizes: np.ndarray, h: np.ndarray, threshold: Threshold, leaf: int = LEAF):
+        self.sizes, self.threshold, self.leaf = sizes, threshold, leaf
         self.begin = np.cumsum(sizes) - sizes
         self.radius = 1 - threshold.percent / 100
         self.names, self.ids = np.unique(h, return_inverse=True)
@@ -374,7 +419,7 @@ class Metric:
             return
         if len(np.unique(self.label[members])) == 1:
             return
-        if len(members) <= LEAF:
+        if len(members) <= self.leaf:
             return self.pairs(members)
         # Pivots spread over the members; distances to each, and the links found on the way.
         pivots = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
@@ -419,7 +464,17 @@ class Metric:
             self.link(int(members[i]), int(members[j]))
 
 
-def cluster_links(threshold: Threshold, width: int):
+def whole_sets(texts: pa.Array, wanted: np.ndarray, width: int):
+    """(sizes, shingles, name halves, rows to use): one row of each set, and only rows whose text is the set that was asked for."""
+    runs = list(shingle_sets(texts, width))
+    sizes, h = np.concatenate([r[1] for r in runs]), np.concatenate([r[2] for r in runs])
+    a, b = set_ids(sizes, h)
+    _, once = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+    once = np.sort(once)
+    return sizes, h, np.stack([a, b], 1), once[a[once].view(np.int64) == wanted[once]]
+
+
+def cluster_links(threshold: Threshold, width: int, leaf: int):
     """(cluster, i, j, h, text), sorted by the first three -> (a, b): forests of the links, by set names."""
 
     def batches(it):
@@ -428,22 +483,119 @@ def cluster_links(threshold: Threshold, width: int):
             texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
             wanted = table.column("h").to_numpy()
             for lo, hi in zip(borders[:-1], borders[1:]):
-                runs = list(shingle_sets(texts.slice(lo, hi - lo), width))
-                sizes, h = np.concatenate([r[1] for r in runs]), np.concatenate([r[2] for r in runs])
-                a, b = set_ids(sizes, h)
-                # one row for each set, and only rows whose text is the set that was asked for
-                _, once = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                once = np.sort(once[a[once].view(np.int64) == wanted[lo:hi][once]])
-                metric = Metric(sizes, h, threshold)
+                if hi - lo < 2:
+                    continue
+                sizes, h, names, once = whole_sets(texts.slice(lo, hi - lo), wanted[lo:hi], width)
+                metric = Metric(sizes, h, threshold, leaf)
                 metric.join(once[np.argsort(sizes[once], kind="stable")])
                 if metric.edges:
                     pair = np.array(metric.edges)
-                    sid = np.stack([a, b], 1).view(np.uint8)
+                    sid = names.view(np.uint8)
                     yield pa.RecordBatch.from_arrays([binary(sid[pair[:, 0]]), binary(sid[pair[:, 1]])], ["a", "b"])
 
     return batches
 
 
+NEAR = "cluster long, h long, n long, text string, name binary, linked array<int>, window array<int>, pivots array<binary>"
+
+
+def pivot_distances(threshold: Threshold, width: int):
+    """(cluster, salt, k, h, n, text), sorted by the first three, with pivots (k >= 0) before the others of a group.
+
+    -> every set with its name, the pivots it is linked to (with their names), and those within twice the radius.
+    """
+
+    def batches(it):
+        for table, borders in whole_groups(it, 2):
+            texts = table.column("text").combine_chunks()
+            texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+            wanted, number = table.column("h").to_numpy(), table.column("k").to_numpy()
+            for lo, hi in zip(borders[:-1], borders[1:]):
+                part = table.slice(lo, hi - lo)
+                runs = list(shingle_sets(texts.slice(lo, hi - lo), width))
+                sizes, h = np.concatenate([r[1] for r in runs]), np.concatenate([r[2] for r in runs])
+                a, b = set_ids(sizes, h)
+                right = a.view(np.int64) == wanted[lo:hi]
+                pivots = np.flatnonzero((number[lo:hi] < SET) & right)
+                members = np.flatnonzero((number[lo:hi] == SET) & right)
+                if not len(members):
+                    continue
+                metric = Metric(sizes, h, threshold)
+                common = np.stack([metric.common(int(p), members) for p in pivots]) if len(pivots) else np.zeros((0, len(members)), np.int64)
+                total = sizes[members][None, :] + sizes[pivots][:, None]
+                linked = threshold.linked(common, total, 0)
+                # 1 - J <= 2 r in integers: 100 J >= 100 - 2 (100 - percent)
+                window = 100 * common >= (2 * threshold.percent - 100) * (total - common)
+                names = np.stack([a, b], 1)
+                ks = number[lo:hi][pivots]
+                sid = [bytes(x) for x in names[pivots].view(np.uint8)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("cluster").combine_chunks().take(pa.array(members)),
+                        pa.array(wanted[lo:hi][members]),
+                        pa.array(sizes[members]),
+                        texts.slice(lo, hi - lo).take(pa.array(members)),
+                        binary(names[members].view(np.uint8)),
+                        pa.array([ks[x].tolist() for x in linked.T], pa.list_(pa.int32())),
+                        pa.array([ks[x].tolist() for x in window.T], pa.list_(pa.int32())),
+                        pa.array([[sid[p] for p in np.flatnonzero(x)] for x in linked.T], pa.list_(pa.binary())),
+                    ],
+                    ["cluster", "h", "n", "text", "name", "linked", "window", "pivots"],
+                )
+
+    return batches
+
+
+#: Numbers a set that isn't a pivot, after all pivots.
+SET = 1 << 20
+
+
+def split_by_pivots(rows: DataFrame, counts: DataFrame, threshold: Threshold, width: int, block: int, turn: int, scratch: Scratch):
+    """One round on clusters that outgrow a block: (sets no pivot reaches, rows of tasks, pairs of linked names).
+
+    ``rows``: cluster, h, n, text; ``counts``: cluster, _blocks.
+    """
+    salted = rows.join(counts, "cluster")
+    # the least name of each of so many hash classes: as good as drawn sets
+    draw = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(ROUND_PIVOTS)).cast("int").alias("k")
+    chosen = salted.groupBy("cluster", draw).agg(F.min("h").alias("h"))
+    pivots = salted.join(chosen, ["cluster", "h"]).dropDuplicates(["cluster", "h"])
+    pivots = pivots.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("salt"), "k", "h", "n", "text")
+    members = salted.select("cluster", F.pmod(F.xxhash64("h"), F.col("_blocks")).alias("salt"), F.lit(SET).alias("k"), "h", "n", "text")
+    both = pivots.unionByName(members).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt", "k", "h")
+    near = scratch.stage(both.mapInArrow(pivot_distances(threshold, width), NEAR), "jaccard-pivots")
+
+    # pivots that share a linked set are one region, named by the smallest of them: few rows, pairs of neighbours in a list
+    pairs = near.where("size(linked) > 1").select("cluster", F.explode(F.expr("transform(sequence(1, size(linked) - 1), i -> struct(linked[i - 1] as p, linked[i] as q))")).alias("e"))
+    pairs = pairs.select("cluster", "e.*").distinct()
+    to_name = lambda c: F.struct("cluster", c)
+    region = components(pairs.select(to_name(F.col("p").alias("k")).alias("a"), to_name(F.col("q").alias("k")).alias("b")), scratch)
+    region = region.select("node.cluster", F.col("node.k").alias("k"), F.col("component.k").alias("region"))
+    regions = region.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("k", "region"))).alias("_m"))  # a pivot a row
+    near = near.join(regions, "cluster", "left")
+    of = lambda c: F.array_distinct(F.transform(c, lambda k: F.coalesce(F.try_element_at(F.col("_m"), k), k)))
+    near = near.withColumn("_own", F.get(of("linked"), F.lit(0))).withColumn("_seen", of("window"))
+
+    open_sets = near.where("_own is null").select("cluster", "h", "n", "text")
+    visits = near.withColumn("region", F.explode("_seen")).where("_own is null or region <> _own").select("cluster", "h", "n", "text", "region")
+    homes = near.where("_own is not null").select("cluster", "h", "n", "text", F.col("_own").alias("region"))
+    size = F.greatest(F.ceil(F.count("*") / (block // 2 + 1)), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = lambda df, name: df.groupBy("cluster", "region").agg(size.alias(name))
+    met = sizes(visits, "_v").join(sizes(homes, "_o"), ["cluster", "region"])
+    met = scratch.stage(met, "jaccard-visits")
+    key = F.xxhash64("cluster", "region", F.lit(turn))
+
+    def tasks(df, own, other, first):
+        mine = F.pmod(F.xxhash64("h"), F.col(own))
+        df = df.join(met, ["cluster", "region"]).withColumn("_mine", mine).withColumn("_theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        i, j = ("_mine", "_theirs") if first else ("_theirs", "_mine")
+        return df.select(key.alias("cluster"), F.col(i).alias("i"), F.col(j).alias("j"), "h", "text")
+
+    found = tasks(homes, "_o", "_v", True).unionByName(tasks(visits, "_v", "_o", False))
+    links = near.select(F.col("name").alias("a"), F.explode("pivots").alias("b")).where("a <> b")
+    return open_sets, found, links
+
+
 def in_blocks(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``i``, ``j``: for each pair of blocks of its key's rows, those of the two. ``counts``: key, _blocks."""
     rows = rows.join(counts, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
@@ -452,43 +604,85 @@ def in_blocks(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_blocks", "_own", "_other")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def regions_of(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Members of signatures' regions (sig, h) with their sketches, sorted by region and pair of blocks."""
+    hot = members.groupBy("sig").count().where(F.col("count") > block).select("sig", F.ceil(F.col("count") / block).alias("_blocks"))
+    regions = in_blocks(members, hot, "sig").join(sets.select("h", "n", "sketch"), "h").select("sig", "i", "j", "h", "n", "sketch")
+    return regions.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "h")
+
+
+def cluster_components(docs: DataFrame, clusters: DataFrame, members: DataFrame, sets: DataFrame, threshold: Threshold, width: int, id_col: str, text_col: str, scratch: Scratch, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+    """node, component (set names) of the sets linked inside clusters. ``clusters``: cluster, h, n, _doc; ``members``: sig, h."""
+    size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    large = lambda df: df.groupBy("cluster").agg(size.alias("_blocks"), F.count("*").alias("_size")).where("_blocks > 1")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # few texts are in clusters: the filter keeps most others out of the shuffle, and the join settles the rest
+    texts = with_maybe(texts, F.col("_id"), clusters, "_doc").where("_maybe").drop("_maybe")
+    # One plan at every size: the texts meet their clusters by a sort-merge join, which moves each text once.
+    rows = texts.join(clusters.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc"))).select("cluster", "h", "n", "text")
+    rows = scratch.stage(rows, "jaccard-texts")
+    release_shuffles(scratch.spark)
+    whole = lambda df: df.select("cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "h", "text")
+    hot = scratch.stage(large(rows), "jaccard-large")
+    tasks, links = whole(rows.join(hot, "cluster", "left_anti")), None
+    left, stuck = rows.join(hot, "cluster", "left_semi"), None
+    for turn in range(ROUNDS):
+        if hot.isEmpty():
+            break
+        left, found, pairs = split_by_pivots(left, hot.drop("_size"), threshold, width, block, turn, scratch)
+        left = scratch.stage(left, "jaccard-left")
+        tasks = tasks.unionByName(found)
+        links = pairs if links is None else links.unionByName(pairs)
+        now = large(left)
+        tasks = tasks.unionByName(whole(left.join(now, "cluster", "left_anti")))
+        # where pivots reach few sets, more of them gain nothing
+        shrinks = F.col("now._size") <= 0.8 * F.col("was._size")
+        now = scratch.stage(now.alias("now").join(hot.alias("was"), "cluster").select("cluster", "now._blocks", "now._size", shrinks.alias("_go")), "jaccard-large")
+        over = left.join(now.where("not _go") if turn + 1 < ROUNDS else now, "cluster", "left_semi")
+        stuck = over if stuck is None else stuck.unionByName(over)
+        hot = scratch.stage(now.where("_go").drop("_go"), "jaccard-large")
+        left = left.join(hot, "cluster", "left_semi")
+    if stuck is not None:
+        # sets far from all pivots: they can link only inside the regions they share with each other
+        stuck = scratch.stage(stuck, "jaccard-stuck")
+        inner = regions_of(members.join(stuck.select("h").distinct(), "h").select("sig", "h"), sets, block)
+        inner = scratch.stage(inner.mapInArrow(region_groups(threshold), "cluster long, h long").distinct(), "jaccard-groups")
+        release_shuffles(scratch.spark)
+        inner = inner.join(stuck.select("h", "n", "text"), "h")
+        tasks = tasks.unionByName(in_blocks(inner, large(inner).drop("_size"), "cluster").select("cluster", "i", "j", "h", "text"))
+    tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h")
+    found = tasks.mapInArrow(cluster_links(threshold, width, leaf), "a binary, b binary")
+    return components(found if links is None else found.unionByName(links), scratch)
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``. ``block``: sets compared in a task; ``leaf``: sets compared without pivots."""
     spark = docs.sparkSession
     threshold = Threshold(percent)
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    path = new_path(spark, "jaccard-profiles")
-    profiles(docs, width, percent, buckets, id_col, text_col).write.parquet(path)
-    prof = spark.read.schema(PROFILE).parquet(path)
-    rows = stage(prof.where(F.col("kind") == DOC).select("doc_id", "n", "h", "sid", "sketch"), "jaccard-sets")
+    scratch = Scratch(spark)
+    prof = scratch.stage(profiles(docs, width, percent, buckets, id_col, text_col), "jaccard-profiles")
+    rows = scratch.stage(prof.where(F.col("kind") == DOC).select("doc_id", "n", "h", "sid", "sketch"), "jaccard-sets")
     sets = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n", "sketch")).alias("s")).select("h", "doc_id", "s.n", "s.sketch")
 
     sent = prof.where(F.col("kind") == SIGS).select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
     members = sent.mapInArrow(shared_signatures, "sig long, h long")
     members = members.unionByName(prof.where(F.col("kind") == MULTI).select(F.col("n").alias("sig"), "h")).distinct()
-    members = stage(members, "jaccard-regions")
-    discard(spark, path)  # the signatures are the largest table, and used up
-    del sent, prof
+    members = scratch.stage(members, "jaccard-regions")
+    del sent
+    scratch.drop(prof)  # the signatures are the largest table, and used up
     release_shuffles(spark)
-    hot = members.groupBy("sig").count().where(F.col("count") > BLOCK).select("sig", F.ceil(F.col("count") / BLOCK).alias("_blocks"))
-    regions = in_blocks(members, hot, "sig").join(sets.select("h", "n", "sketch"), "h").select("sig", "i", "j", "h", "n", "sketch")
-    regions = regions.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "h")
-    clusters = components(regions.mapInArrow(region_forests(threshold), "a long, b long"))
-    clusters = clusters.select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+    near = components(regions_of(members, sets, block).mapInArrow(region_forests(threshold), "a long, b long"), scratch)
 
-    members = stage(clusters.join(sets.select("h", "n", F.col("doc_id").alias("_doc")), "h"), "jaccard-clusters")
-    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    hot = members.groupBy("cluster").agg(size.alias("_blocks")).where("_blocks > 1")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    # One plan at every size: the texts meet their clusters by a sort-merge join, which moves each text once.
-    found = texts.join(members.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc"))).select("cluster", "h", "text")
-    found = in_blocks(found, hot, "cluster").select("cluster", "i", "j", "h", "text")
-    found = found.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h")
-    labels = components(found.mapInArrow(cluster_links(threshold, width), "a binary, b binary"))
+    clusters = near.select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+    clusters = scratch.stage(clusters.join(sets.select("h", "n", F.col("doc_id").alias("_doc")), "h"), "jaccard-clusters")
+    scratch.drop(near)
+    labels = cluster_components(docs, clusters, members, sets, threshold, width, id_col, text_col, scratch, block, leaf)
 
     # sets without links are their own class
     named = rows.join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "sid").alias("_class"))
     named = stage(named, "jaccard-named")
+    scratch.clear()
     # written, so that a hot class can be split in the join that follows
     least = stage(named.where("n > 0").groupBy("_class").agg(F.min("doc_id").alias("_least")), "jaccard-least")
     out = named.join(least, "_class", "left")
@@ -497,15 +691,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, null ids last, any one of equal ids. Blank texts all stay."""
-    rows = keyed(docs, "jaccard-rows")
-    found = jaccard_components(rows, width, percent, ROW, text_col)
+    rows, row = keyed(docs, "jaccard-rows")
+    scratch = Scratch(docs.sparkSession)
+    found = jaccard_components(rows, width, percent, row, text_col)
     # the join goes by row, as ids may be null or repeated
-    ids = rows.select(F.col(ROW).alias("doc_id"), F.col(id_col).cast("long").alias("_id"))
+    ids = rows.select(F.col(row).alias("doc_id"), F.col(id_col).cast("long").alias("_id"))
+    found = scratch.stage(found.join(ids, "doc_id").select("doc_id", "component_id", "_id"), "jaccard-found")
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id")))
-    keep = stage(found.join(ids, "doc_id").groupBy("component_id").agg(first.alias("_first")).select(F.col("_first.doc_id").alias(ROW)), "jaccard-kept")
-    del found, ids
+    groups = found.groupBy("component_id").agg(first.alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    groups = scratch.stage(groups.select("component_id", F.col("_first.doc_id").alias("_first")), "jaccard-groups")
+    gone = found.join(groups, "component_id").where("doc_id <> _first").select(F.col("doc_id").alias(row))
+    gone = stage(gone, "jaccard-dropped")
+    scratch.drop(found, groups)
     release_shuffles(docs.sparkSession)
-    return rows.join(keep, ROW, "left_semi").select(*[rows[f"`{c}`"] for c in docs.columns])
+    # most rows pass the filter and aren't moved; the others are settled by a join
+    maybe = fresh(rows, "_maybe")
+    split = with_maybe(rows, F.col(row), gone, row, maybe)
+    kept = split.where(~F.col(maybe)).unionByName(split.where(maybe).join(gone.hint("merge"), row, "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERY = "op4_jaccard_metric_join"

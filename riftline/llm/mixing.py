@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sharding import prefix_sums, ranged
-from .workspace import ROW, keyed, parallelism, stage
+from .workspace import fresh, keyed, parallelism, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's place in code-point order, repeating.
@@ -134,20 +134,25 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
 
     A row's plan is joined to it by a key of the row, as ids may be null or repeated.
     """
-    rows = keyed(docs, "mix-rows")
-    plan = mix(rows, id_col=id_col, row_col=ROW, **options)
-    plan = plan.where("passes > 0").select(ROW, F.explode(F.filter("positions", lambda x: x.isNotNull())).alias("_mix_at"))
-    out = rows.join(plan, ROW)
-    order = ["_mix_at", id_col, ROW]
-    return out.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_mix_at", ROW)
+    rows, row = keyed(docs, "mix-rows")
+    at = fresh(rows, "_mix_at")
+    plan = mix(rows, id_col=id_col, row_col=row, **options)
+    plan = plan.where("passes > 0").select(row, F.explode(F.filter("positions", lambda x: x.isNotNull())).alias(at))
+    out = rows.join(plan, row)
+    order = [at, id_col, row]
+    return out.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order).drop(at, row)
 
 
 QUERY = "op9_curriculum_mix"
 
 
 def query(spark, sf_dir):
+    """A row per document in the order of training: by the position of its first pass, those not taken last."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    at = lambda p: F.round(F.get("positions", F.lit(p)), 9)
+    out = out.select("doc_id", "size", "source_size", "target", "taken", "passes", at(0).alias("position"), at(1).alias("next_position"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return out.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
 
 
 ORACLE = r"""
@@ -167,13 +172,27 @@ WITH d AS (
 ), f AS (
   SELECT (SELECT level FROM l WHERE NOT level * weight >= cap ORDER BY cap / weight, source NULLS LAST LIMIT 1) AS level
 ), g AS (
-  SELECT l.source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * weight) END AS target FROM l, f
+  SELECT l.source, l.k, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * weight) END AS target FROM l, f
 ), p AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target,
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.k % 3 AS cls,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), knots(cls, i, y) AS (
+  VALUES (0, 0, 1.0::DOUBLE), (0, 1, 1.0), (0, 2, 0.5), (1, 0, 0.5), (1, 1, 1.0), (1, 2, 1.0), (2, 0, 0.25), (2, 1, 1.0), (2, 2, 2.0)
+), pieces AS (  -- of each schedule: where a piece begins and ends as a share of the whole integral
+  SELECT cls, i, y, slope, whole, done, (done + area) / whole AS upto, done / whole AS since
+  FROM (SELECT *, sum(area) OVER (PARTITION BY cls) AS whole, sum(area) OVER (PARTITION BY cls ORDER BY i) - area AS done
+        FROM (SELECT cls, i, y, (z - y) * 2 AS slope, (y + z) / 4 AS area FROM (SELECT *, lead(y) OVER (PARTITION BY cls ORDER BY i) AS z FROM knots) WHERE z IS NOT NULL))
+), passes AS (
+  SELECT p.*, pass, (start + pass * source_size) / target AS share, start + size / 2 + pass * source_size < target AS taken
+  FROM p, (VALUES (0), (1)) t(pass)
+), moments AS (
+  SELECT m.*, round(i / 2.0::DOUBLE + least(greatest(CASE WHEN slope = 0 THEN (share * whole - done) / y
+           ELSE (sqrt(greatest(y * y + 2 * slope * (share * whole - done), 0)) - y) / slope END, 0), 0.5), 9) AS moment
+  FROM passes m LEFT JOIN pieces s ON m.cls = s.cls AND m.taken AND (share > since OR i = 0) AND (share <= upto OR i = 1)
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (CAST(start + size / 2 < target AS INTEGER) + CAST(start + size / 2 + source_size < target AS INTEGER)) AS BIGINT) AS taken
-FROM p
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * n AS BIGINT) AS taken, n AS passes, position, next_position FROM (
+  SELECT doc_id, start, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+         CAST(sum(CAST(taken AS INTEGER)) AS INTEGER) AS n, max(CASE WHEN pass = 0 THEN moment END) AS position, max(CASE WHEN pass = 1 THEN moment END) AS next_position
+  FROM moments GROUP BY doc_id, source_size, start)
 """

@@ -11,14 +11,12 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names a row of a ``keyed`` table.
-ROW = "_row_key"
-
 _local: list[str] = []
 
 
@@ -47,13 +45,44 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, label: str) -> DataFrame:
-    """``df`` in a written table with ``ROW``, a number unique whatever the other columns hold, the same each time it is read."""
+class Scratch:
+    """Written tables of one operator; ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._written = spark, []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._written.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            for path in [p for f, p in self._written if f is frame]:
+                discard(self.spark, path)
+        self._written = [(f, p) for f, p in self._written if not any(f is x for x in frames)]
+
+    def clear(self) -> None:
+        self.drop(*[f for f, _ in self._written])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` in a written table with one more column, and its name: a number unique whatever the others hold, the same each time it is read."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df = df.withColumn(ROW, F.monotonically_increasing_id())
+    path, row = new_path(spark, label), fresh(df, "_row_key")
+    df = df.withColumn(row, F.monotonically_increasing_id())
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), row
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -63,9 +92,14 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables no longer referred to: its cleaner waits for the driver's garbage collector."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are done: its cleaner waits for the driver's garbage collector.
+
+    The events that tell of a plan's end hold it a little longer than the call that ran it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def parallelism(spark: SparkSession) -> int:

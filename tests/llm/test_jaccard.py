@@ -1,12 +1,13 @@
 """The Jaccard join against all pairs."""
 
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from riftline.llm import components, jaccard, words
+from riftline.llm import bitmap, components, jaccard, words, workspace
 
 from .common import ODD, SCHEMA, clashing, near_copies, odd
 
@@ -40,8 +41,8 @@ def brute(rows, width, percent):
     return {i: (len(s), sets[root(k)][0]) for k, (i, s) in enumerate(sets)}
 
 
-def result(df, width, percent):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, width, percent).collect()}
+def result(df, width, percent, **sizes):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, width, percent, **sizes).collect()}
 
 
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 90)])
@@ -53,17 +54,38 @@ def test_equals_all_pairs(spark, width, percent):
 
 def test_small_blocks_and_deep_recursion(spark, monkeypatch):
     rows = near_copies(seed=8, count=220, words=40)
-    for name, value in (("BLOCK", 7), ("LEAF", 5), ("COMBINE", 400)):
-        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "ROUND_PIVOTS", 3)  # read where the plan is made
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert result(df, 3, 80) == brute(rows, 3, 80)
-
-
-def test_leaf_and_regions_agree(monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 4)
+    assert result(df, 3, 80, block=7, leaf=5) == brute(rows, 3, 80)
+
+
+def test_rounds_of_pivots_on_a_large_group(spark, monkeypatch):
+    """A group of near copies, a chain that drifts away from it, and strangers, in blocks far below its size."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts, drift = [], list(base)
+    for k in range(150):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    for k in range(40):
+        drift[k] = f"y{k}"
+        texts.append(" ".join(drift))
+    texts += [" ".join(f"z{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 20
+    for pivots, block in ((2, 12), (24, 40)):
+        monkeypatch.setattr(jaccard, "ROUND_PIVOTS", pivots)
+        assert result(df, 3, 85, block=block) == want
+
+
+def test_leaf_and_regions_agree():
     rows = near_copies(seed=5, count=150, words=60)
     (_, sizes, h), = words.shingle_sets(pa.array([t for _, t in rows]), 3)
-    whole, parts = (jaccard.Metric(sizes, h, jaccard.Threshold(80)) for _ in range(2))
+    whole, parts = (jaccard.Metric(sizes, h, jaccard.Threshold(80), leaf=4) for _ in range(2))
     members = np.flatnonzero(sizes)
     whole.pairs(members)
     parts.join(members)
@@ -110,5 +132,25 @@ def test_one_of_each_keeps_columns(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "a long, b long")
-    got = {r.node: r.component for r in components.components(edges).collect()}
+    got = {r.node: r.component for r in components.components(edges, workspace.Scratch(spark)).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
+
+
+def test_bitmap_lets_every_member_pass(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("key"), F.lit("taken").alias("_bitmap_at"))
+    table = rows.where("key % 5 = 0 or key is null").select(F.col("key").alias("k"))
+    out = bitmap.with_maybe(rows, F.col("key"), table, "k")
+    assert out.columns == ["key", "_bitmap_at", "_maybe"] and out.count() == 4000
+    assert out.where("not _maybe and (key % 5 = 0 or key is null)").count() == 0
+    assert out.where("_maybe and key % 5 <> 0").count() < 10
+
+
+def test_stages_are_deleted(spark):
+    scratch = workspace.Scratch(spark)
+    table = scratch.stage(spark.range(5), "test-scratch")
+    (path,) = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    scratch.drop(table)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
