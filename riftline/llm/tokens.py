@@ -3,8 +3,8 @@
 This tokenizer's pre-tokens never cross white space, and its normaliser turns
 runs of white space into single spaces, so a text's ids are its
 space-separated parts' ids in order. Each distinct part is encoded once by the
-``tokenizers`` library and remembered in a table that is emptied when it is
-full; ids are then gathered with array operations. Texts with the separators
+``tokenizers`` library and remembered in a table; when it is full, only the parts
+of the last texts stay. Ids are then gathered with array operations. Texts with the separators
 0x1C-0x1F, on which Python and the tokenizer differ, are encoded in one piece.
 """
 
@@ -18,8 +18,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct parts remembered by a worker: some 120 MB.
-CACHE_PARTS = 600_000
+#: Distinct parts remembered by a worker: some 50 MB.
+CACHE_PARTS = 250_000
 END_ID = 1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case is one letter, then ASCII marks: two pre-tokens at most.
@@ -43,9 +43,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The same model for lone lower-case words, which need no pattern to be split.
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer, self.words.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # The same model, in the same memory, for lone lower-case words, which need no pattern to be split.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -64,6 +64,19 @@ class Encoder:
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.known = 0
         self.tails: dict[str, list[int]] = {"": []}  # ids of marks after words
+        self.last = np.zeros(0, np.int64)  # places of the last texts' parts
+
+    def _forget(self):
+        """Keep the parts of the last texts alone."""
+        keep = np.zeros(self.known, bool)
+        keep[self.last] = keep[0] = True
+        names = [part for part, stays in zip(self.places, keep.tolist()) if stays]
+        start, length = self.start[: self.known][keep], self.length[: self.known][keep]
+        ends = np.cumsum(length, dtype=np.int64)
+        ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
+        self.clear()
+        self.places.update(zip(names, range(len(names))))
+        self._keep(ids, length)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -126,7 +139,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; ids of each text)."""
         if len(self.places) > CACHE_PARTS:
-            self.clear()
+            self._forget()
+            if len(self.places) > CACHE_PARTS:
+                self.clear()
         if not self.places:
             self.places["\x00end"] = 0  # no part holds it: the end id's own place
             self._keep(np.array([END_ID], np.int32), np.array([1], np.int32))
@@ -145,7 +160,7 @@ class Encoder:
             self._learn()
             if collecting:
                 gc.enable()
-        rows = np.array(rows, np.int64)
+        rows = self.last = np.array(rows, np.int64)
         lengths = self.length[rows].astype(np.int64)
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[rows] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
