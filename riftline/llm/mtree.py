@@ -13,11 +13,13 @@ opening its page. Pages are opened best bound first. Bounds are in doubles with
 a margin for rounding; scores are exact integers, and only a bound strictly
 below s drops an entry, so ties are kept.
 
-Defined results: null and empty vectors and those with null or non-finite
-components take no part; zero vectors do, with score 0; a query never finds its
-own id; equal scores go to the smaller id; fewer candidates than k give fewer
-rows; an empty table gives none; other columns may have any names. Repeated ids
-are each a row. Integer scores must stay below 2^53.
+Defined results: null and empty vectors, those with null or non-finite
+components and those of another than the most frequent length take no part; zero
+vectors do, with score 0; a query never finds its own row; rows that repeat an
+id are each a query and a candidate; equal scores go to the smaller id; fewer
+candidates than k give fewer rows; an empty table gives none; other columns may
+have any names. Vectors so long that a score may reach 2^53, beyond which doubles
+aren't exact, are refused.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ PAGE = 256
 SCALE = 64
 
 
-def bulk_load(ids: np.ndarray, x: np.ndarray) -> bytes:
+def bulk_load(ids: np.ndarray, names: np.ndarray, x: np.ndarray, page_size: int = PAGE) -> bytes:
     """Leaf pages are runs of ``order``; the levels above group pages by nearest of some spread centres."""
+    if (x * x).sum(1).max() >= 2.0**53:
+        raise ValueError("vectors too long for exact integer scores")
     order, pages, rng = np.arange(len(x)), [], np.random.default_rng(3)
 
     def split(a: int, b: int):
-        if b - a <= PAGE:
+        if b - a <= page_size:
             pages.append((a, b))
             return
         own = order[a:b]
@@ -55,7 +59,7 @@ def bulk_load(ids: np.ndarray, x: np.ndarray) -> bytes:
         split((a + b) // 2, b)
 
     split(0, len(x))
-    x, ids = x[order], ids[order]
+    x, ids, names = x[order], ids[order], names[order]
     # leaf level: entries are vectors; a page's centre is its mean
     bounds = np.array(pages)
     centres = np.array([x[a:b].mean(0) for a, b in pages])
@@ -65,29 +69,29 @@ def bulk_load(ids: np.ndarray, x: np.ndarray) -> bytes:
         # the radius covers the vectors below, not only the centres
         _, _, low, cs = levels[-1]
         radius = np.array([(levels[-1][0][a:b] + levels[-1][1][a:b]).max() for a, b in low])
-        step = max(2, PAGE // 16)
+        step = max(2, page_size // 16)
         groups = [(a, min(a + step, len(cs))) for a in range(0, len(cs), step)]
         centres = np.array([cs[a:b].mean(0) for a, b in groups])
         up = np.concatenate([np.sqrt(((cs[a:b] - c) ** 2).sum(1)) for (a, b), c in zip(groups, centres)])
         levels.append((radius, up, np.array(groups), centres))
     out = io.BytesIO()
     arrays = {f"{name}{i}": v for i, level in enumerate(levels) for name, v in zip(("radius", "up", "pages", "centres"), level)}
-    np.savez(out, ids=ids, x=x, depth=len(levels), **arrays)
+    np.savez(out, ids=ids, names=names, x=x, depth=len(levels), **arrays)
     return out.getvalue()
 
 
-def best_first(data: bytes, qids: np.ndarray, queries: np.ndarray, k: int):
-    """(query row, id, score): the k best of each query, exactly."""
+def best_first(data: bytes, own: np.ndarray, queries: np.ndarray, k: int):
+    """(query place, row, id, score): the k best of each query, exactly; ``own``: the queries' rows."""
     with np.load(io.BytesIO(data)) as z:
-        ids, x, depth = z["ids"], z["x"], int(z["depth"])
+        ids, names, x, depth = z["ids"], z["names"], z["x"], int(z["depth"])
         levels = [[z[f"{name}{i}"] for name in ("radius", "up", "pages", "centres")] for i in range(depth)]
-    rows, out_ids, out_scores = [], [], []
+    places, out_at, out_scores = [], [], []
     root = levels[-1][3][0]
     largest = np.sqrt((x * x).sum(1).max()) if len(x) else 0.0
-    for row, (qid, q) in enumerate(zip(qids, queries)):
+    for place, (mine, q) in enumerate(zip(own, queries)):
         length = float(np.sqrt(q @ q))
         margin = 1e-9 * (1 + length * (1 + largest))
-        kth, got_s, got_i = -np.inf, np.zeros(0), np.zeros(0, np.int64)
+        kth, got_s, got_at = -np.inf, np.zeros(0), np.zeros(0, np.int64)
         heap, serial = [(-np.inf, 0, depth - 1, 0, float(q @ root))], 0
         while heap:
             bound, _, level, page, centre_score = heapq.heappop(heap)
@@ -102,12 +106,12 @@ def best_first(data: bytes, qids: np.ndarray, queries: np.ndarray, k: int):
                 continue
             if level == 0:
                 scores = x[entries] @ q
-                keep = (scores >= kth) & (ids[entries] != qid)
+                keep = (scores >= kth) & (names[entries] != mine)
                 if keep.any():
-                    got_s, got_i = np.concatenate([got_s, scores[keep]]), np.concatenate([got_i, ids[entries[keep]]])
+                    got_s, got_at = np.concatenate([got_s, scores[keep]]), np.concatenate([got_at, entries[keep]])
                     if len(got_s) > k:
-                        take = np.lexsort((got_i, -got_s))[:k]
-                        got_s, got_i = got_s[take], got_i[take]
+                        take = np.lexsort((names[got_at], ids[got_at], -got_s))[:k]
+                        got_s, got_at = got_s[take], got_at[take]
                     if len(got_s) == k:
                         kth = got_s.min()
             else:
@@ -117,17 +121,21 @@ def best_first(data: bytes, qids: np.ndarray, queries: np.ndarray, k: int):
                     if u >= kth - margin:
                         serial += 1
                         heapq.heappush(heap, (-u, serial, level - 1, e, s))
-        rows.append(np.full(len(got_s), row))
-        out_ids.append(got_i)
+        places.append(np.full(len(got_s), place))
+        out_at.append(got_at)
         out_scores.append(got_s)
-    return np.concatenate(rows), np.concatenate(out_ids), np.concatenate(out_scores).astype(np.int64)
+    at = np.concatenate(out_at)
+    return np.concatenate(places), names[at], ids[at], np.concatenate(out_scores).astype(np.int64)
 
 
-def exact_top_k(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def exact_top_k(
+    vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", page: int = PAGE, shard: int | None = None, block: int | None = None
+) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id is divisible by ``every``."""
-    rows = usable(vectors, id_col, vec_col, zero_ok=True)
+    rows, row = usable(vectors, id_col, vec_col, zero_ok=True)
     rows = rows.withColumn("v", F.transform("v", lambda c: F.floor(c * scale).cast("double")))
-    return search(rows, rows.where(f"vec_id % {int(every)} = 0"), bulk_load, lambda data, qids, q: best_first(data, qids, q, k), k, "long")
+    load = lambda ids, names, x: bulk_load(ids, names, x, page)
+    return search(rows, row, rows.where(f"vec_id % {int(every)} = 0"), load, lambda data, own, q: best_first(data, own, q, k), k, "long", shard, block)
 
 
 QUERY = "op6_mtree_top_k"

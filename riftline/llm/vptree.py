@@ -13,11 +13,12 @@ nodes. Queries descend together: at each node the ones still interested are one
 array. Every vector is in a tree; scores are exact inner products of the
 original vectors, in double precision.
 
-Defined results: null, empty and zero vectors, and those with null or
-non-finite components take no part as query or candidate; a query never finds
-its own id; equal scores go to the smaller id among those found; fewer
-candidates than k give fewer rows; an empty table gives none; other columns may
-have any names.
+Defined results: null, empty and zero vectors, those with null or non-finite
+components and those of another than the most frequent length take no part as
+query or candidate; a query never finds its own row; rows that repeat an id are
+each a query and a candidate; equal scores go to the smaller id among those
+found; fewer candidates than k give fewer rows; an empty table gives none; other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import io
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .vectors import best, search, usable
+from .vectors import search, usable
 
 K = 20
 LEAF = 128
@@ -40,14 +41,14 @@ def lift(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]])
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> bytes:
+def build(ids: np.ndarray, names: np.ndarray, x: np.ndarray, leaf_size: int = LEAF) -> bytes:
     """Nodes in preorder: vantage row, median, first and last place of its vectors, second child (0: a leaf)."""
     y, order, nodes, rng = lift(x), np.arange(len(x)), [], np.random.default_rng(5)
 
     def grow(a: int, b: int):
         me = len(nodes)
         nodes.append([-1, 0.0, a, b, 0])
-        if b - a <= LEAF:
+        if b - a <= leaf_size:
             return
         own = order[a:b]
         # of a few points the one whose distances spread most
@@ -68,37 +69,39 @@ def build(ids: np.ndarray, x: np.ndarray) -> bytes:
     split = table[:, 0] >= 0
     table[split, 0] = place[table[split, 0].astype(int)]
     out = io.BytesIO()
-    np.savez(out, ids=ids[order], x=x[order], y=y[order], nodes=table)
+    np.savez(out, ids=ids[order], names=names[order], x=x[order], y=y[order], nodes=table)
     return out.getvalue()
 
 
-def probe_tree(data: bytes, qids: np.ndarray, q: np.ndarray, k: int, factor: float):
-    """(query row, id, score) of the k best found of each query."""
+def probe_tree(data: bytes, own: np.ndarray, q: np.ndarray, k: int, factor: float):
+    """(query place, row, id, score) of the k best found of each query; ``own``: the queries' rows."""
     with np.load(io.BytesIO(data)) as z:
-        ids, x, y, nodes = (z[n] for n in ("ids", "x", "y", "nodes"))
+        ids, names, x, y, nodes = (z[n] for n in ("ids", "names", "x", "y", "nodes"))
     lifted = np.hstack([q, np.zeros((len(q), 1))])
     # slack for rounding, so that factor one stays exact
     slack = 1e-9 * (1 + np.linalg.norm(lifted, axis=1) + np.linalg.norm(y[0]))
     offset = (q * q).sum(1) + (y[0] * y[0]).sum()  # |q|^2 + M^2
     kth = np.full(len(q), -np.inf)  # k-th best score so far
-    found_ids = np.full((len(q), k), np.iinfo(np.int64).max)
+    found_at = np.full((len(q), k), len(ids))  # place of the row, after the last one: none
+    ids_and_none = np.append(ids, np.iinfo(np.int64).max)
+    names_and_none = np.append(names, np.iinfo(np.int64).max)
     found = np.full((len(q), k), -np.inf)
 
     def leaf(a, b, who):
         scores = q[who] @ x[a:b].T
-        scores[qids[who][:, None] == ids[None, a:b]] = -np.inf
+        scores[own[who][:, None] == names[None, a:b]] = -np.inf
         useful = np.flatnonzero((scores >= kth[who][:, None]).any(1))
         who, scores = who[useful], scores[useful]
         s = np.hstack([found[who], scores])
-        i = np.hstack([found_ids[who], np.broadcast_to(ids[a:b], scores.shape)])
+        i = np.hstack([found_at[who], np.broadcast_to(np.arange(a, b), scores.shape)])
         # as many columns as the most that reach their row's k-th score, so that none of a tie is lost
         cut = np.partition(s, -k, axis=1)[:, -k, None]
         width = int((s >= cut).sum(1).max(initial=0))
         if 0 < width < s.shape[1]:
             part = np.argpartition(-s, width - 1, axis=1)[:, :width]
             s, i = np.take_along_axis(s, part, 1), np.take_along_axis(i, part, 1)
-        take = np.lexsort((i, -s), axis=1)[:, :k]
-        found[who], found_ids[who] = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
+        take = np.lexsort((names_and_none[i], ids_and_none[i], -s), axis=1)[:, :k]
+        found[who], found_at[who] = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
         kth[who] = found[who, -1]
 
     def visit(n, who):
@@ -116,14 +119,18 @@ def probe_tree(data: bytes, qids: np.ndarray, q: np.ndarray, k: int, factor: flo
             visit(far, group[factor * (np.abs(dist - median) - slack[group]) <= reach])
 
     visit(0, np.arange(len(q)))
-    row, col = np.nonzero(found > -np.inf)
-    return row, found_ids[row, col], found[row, col]
+    place, col = np.nonzero(found > -np.inf)
+    at = found_at[place, col]
+    return place, names[at], ids[at], found[place, col]
 
 
-def approximate_neighbours(vectors: DataFrame, k: int = K, every: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def approximate_neighbours(
+    vectors: DataFrame, k: int = K, every: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding", leaf: int = LEAF, shard: int | None = None, block: int | None = None
+) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id is divisible by ``every``."""
-    rows = usable(vectors, id_col, vec_col, zero_ok=False)
-    return search(rows, rows.where(f"vec_id % {int(every)} = 0"), build, lambda data, qids, q: probe_tree(data, qids, q, k, factor), k, "double")
+    rows, row = usable(vectors, id_col, vec_col, zero_ok=False)
+    grow = lambda ids, names, x: build(ids, names, x, leaf)
+    return search(rows, row, rows.where(f"vec_id % {int(every)} = 0"), grow, lambda data, own, q: probe_tree(data, own, q, k, factor), k, "double", shard, block)
 
 
 QUERY = "op5_vantage_point_forest"
