@@ -3,14 +3,18 @@
 A list is a log of dated changes: at ``at`` a key is set to a verdict, or its entry
 is withdrawn (verdict null). Changes of one key become validity intervals
 [at, next at). A capture is looked up under its host and the host's parent
-domains; the as-of join keeps, for each of these keys, the interval that holds
-the fetch time, and the most specific key with an active entry decides.
+domains; the as-of join finds for each of these keys the last interval that began
+at or before the fetch time, which counts if it hasn't ended, and the most
+specific key with an active entry decides.
 
-Intervals of a key don't overlap, so a capture meets at most one of each of its
-keys, however often the key changed. The join is an equi-join on the key with an
-interval condition, which Spark can split where a host is hot.
+The as-of join puts the intervals' beginnings and the moments asked for of a key
+in one order, and carries the last interval forward. It does so within buckets
+of time: what is carried into a bucket is found first, from one row for each
+bucket in which a key is asked for. So a hot host is many tasks. A moment of a
+key is asked for once, however many captures share it.
 
 Defined results: a null or unparsable URL, or a null fetch time, matches nothing;
+a host that is an address (IPv4, or IPv6 in brackets) has no parent domains;
 changes of one key at the same moment: the last verdict in order wins, a withdrawal
 before any verdict; an entry is active from its moment on, inclusive; repeated captures are
 each evaluated; without captures there are no rows, without entries all pass;
@@ -22,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Units of time (of the time columns: days, say) in a bucket.
+BUCKET = 64
+
 
 def host_of(url):
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1))
     return F.when(F.length(host) > 0, host)
 
 
@@ -36,32 +43,49 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where("verdict is not null")
 
 
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*)$"
+
+
 def keys_of(host):
-    """The host and its parent domains of two labels or more, the host first."""
+    """The host and its parent domains of two labels or more, the host first; of an address only itself."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    lengths = F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1))).otherwise(F.array(n))
+    lengths = F.when(host.rlike(ADDRESS) | (n < 2), F.array(n)).otherwise(F.sequence(n, F.lit(2), F.lit(-1)))
     return F.transform(lengths, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
-    """capture_id, host, fetched, entry_key, since, until, verdict: one row per capture."""
+def as_of(asked: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """entry_key, fetched, span of the distinct rows of ``asked`` (entry_key, fetched) whose last span began at or before and hasn't ended."""
+    span = F.struct("since", "until", "verdict")
+    kind = spans.select(span.alias("s")).schema["s"].dataType
+    bucket = lambda c: F.floor(F.col(c) / width)
+    asked = asked.withColumn("_b", bucket("fetched"))
+    # what holds when a bucket begins: a row for each bucket asked for, and the changes, of a key in order
+    entered = asked.select("entry_key", "_b").distinct().select("entry_key", "_b", (F.col("_b") * width).alias("_at"), F.lit(None).cast(kind).alias("_s"))
+    changes = spans.select("entry_key", bucket("since").alias("_b"), F.col("since").cast("double").alias("_at"), span.alias("_s"))
+    by_key = Window.partitionBy("entry_key").orderBy("_at", F.col("_s").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = entered.unionByName(changes).withColumn("_c", F.last("_s", True).over(by_key)).where("_s is null and _c is not null")
+    carried = carried.select("entry_key", "_b", (F.col("_b") * width).cast("double").alias("_at"), F.col("_c").alias("_s"), F.lit(0).alias("_k"), F.lit(None).cast("double").alias("fetched"))
+    changes = changes.select("*", F.lit(1).alias("_k"), F.lit(None).cast("double").alias("fetched"))
+    moments = asked.select("entry_key", "_b", F.col("fetched").cast("double").alias("_at"), F.lit(None).cast(kind).alias("_s"), F.lit(2).alias("_k"), F.col("fetched").cast("double").alias("fetched"))
+    inside = Window.partitionBy("entry_key", "_b").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    found = carried.unionByName(changes).unionByName(moments).withColumn("span", F.last("_s", True).over(inside))
+    return found.where("_k = 2 and span is not null and (span.until is null or fetched < span.until)").select("entry_key", "fetched", "span")
+
+
+def evaluate(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str, width: int = BUCKET) -> DataFrame:
+    """capture_id, host, fetched, entry_key, since, until, verdict: one row per capture. Times are numbers."""
     rows = captures.select(F.col(id_col).alias("capture_id"), host_of(F.col(url_col)).alias("host"), F.col(time_col).alias("fetched"))
     spans = intervals(entries)
-    # keys with any entry are few; a capture's keys are a handful
-    asked = rows.select("host").where("host is not null").distinct().select("host", F.posexplode(keys_of(F.col("host"))).alias("depth", "entry_key"))
-    by_host = asked.join(spans, "entry_key")
-    # as-of: the interval that holds the fetch time, of the most specific key
-    pick = F.struct("depth", "entry_key", "since", "until", "verdict")
-    stamped = rows.where("host is not null and fetched is not null").select("host", "fetched").distinct()
-    active = (
-        stamped.join(by_host, "host")
-        .where("since <= fetched and (until is null or fetched < until)")
-        .groupBy("host", "fetched")
-        .agg(F.min(pick).alias("hit"))
-    )
-    out = rows.join(active, ["host", "fetched"], "left")
-    return out.select("capture_id", "host", "fetched", "hit.entry_key", "hit.since", "hit.until", F.coalesce("hit.verdict", F.lit("pass")).alias("verdict"))
+    # keys with any entry are few; a host's keys are a handful
+    hosts = rows.select("host").where("host is not null").distinct().select("host", F.posexplode(keys_of(F.col("host"))).alias("depth", "entry_key"))
+    listed = hosts.join(spans.select("entry_key").distinct(), "entry_key")
+    stamped = rows.where("host is not null and fetched is not null").select("host", "fetched").distinct().join(listed, "host")
+    active = as_of(stamped.select("entry_key", "fetched").distinct(), spans, width).withColumnRenamed("fetched", "_at")
+    hits = stamped.withColumn("_at", F.col("fetched").cast("double")).join(active, ["entry_key", "_at"])
+    best = hits.groupBy("host", "fetched").agg(F.min(F.struct("depth", "entry_key", "span")).alias("hit"))
+    out = rows.join(best, ["host", "fetched"], "left")
+    return out.select("capture_id", "host", "fetched", "hit.entry_key", "hit.span.since", "hit.span.until", F.coalesce("hit.span.verdict", F.lit("pass")).alias("verdict"))
 
 
 QUERY = "op1_temporal_url_lists"
@@ -75,7 +99,7 @@ def digest(text, at: int, modulus: int):
 
 
 def sample_entries(pages: DataFrame) -> DataFrame:
-    """Changes of every registered domain (two labels) and of a third of the hosts."""
+    """Changes of the last three labels of every host and of a third of the hosts."""
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
     keys = hosts.where(digest(F.col("host"), 1, 3) == 0).select(F.col("host").alias("entry_key"))
@@ -96,7 +120,7 @@ def query(spark, sf_dir):
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1)), '') AS host,
          CAST(CAST('0x' || substr(md5('fetch' || page_id), 1, 6) AS BIGINT) % 1000 AS INTEGER) AS fetched
   FROM pages
 ), h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
@@ -113,7 +137,7 @@ spans AS (SELECT entry_key, verdict, moment AS since, lead(moment) OVER (PARTITI
 hits AS (
   SELECT p.page_id, s.entry_key, s.since, s.until, s.verdict,
          row_number() OVER (PARTITION BY p.page_id ORDER BY length(s.entry_key) DESC) AS rn
-  FROM p JOIN spans s ON (p.host = s.entry_key OR ends_with(p.host, '.' || s.entry_key))
+  FROM p JOIN spans s ON (p.host = s.entry_key OR (ends_with(p.host, '.' || s.entry_key) AND NOT regexp_matches(p.host, '^(\d{1,3}(\.\d{1,3}){3}|\[.*)$')))
   WHERE s.verdict IS NOT NULL AND s.since <= p.fetched AND (s.until IS NULL OR p.fetched < s.until)
 )
 SELECT p.page_id, p.host, p.fetched, x.entry_key, x.since, x.until, coalesce(x.verdict, 'pass') AS verdict

@@ -21,17 +21,44 @@ DATA = "/root/testdata/sf0.01"
 # --- toxicity --------------------------------------------------------------------
 
 
-def test_machine_learns_a_pair():
-    """Label 1 only where both words meet: no additive weights do that."""
+def ragged(x):
+    """Terms per row and buckets of a 0/1 matrix."""
+    return x.sum(1).astype(np.int64), np.nonzero(x)[1].astype(np.int32)
+
+
+def test_scores_are_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    terms, w, v = np.array([2, 5, 6, 11], np.int32), rng.normal(size=4), rng.normal(size=(4, 3))
+    m = toxicity.Machine(0.3, terms, w, v)
+    x = rng.integers(0, 2, (60, 14))
+    for row, score in zip(x, m.scores(*ragged(x))):
+        on = [k for k, t in enumerate(terms) if row[t]]
+        z = 0.3 + sum(w[k] for k in on) + sum(v[a] @ v[b] for i, a in enumerate(on) for b in on[:i])
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_machine_learns_a_pair(spark):
+    """Label 1 where one of two words stands without the other: neither tells anything by itself, and no additive weights do it."""
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
-    lists = [[t for t, on in ((3, x), (9, y)) if on] for x, y in zip(a, b)]
-    counts = np.array([len(x) for x in lists])
-    y = ((a ^ b) == 1).astype(float)
-    m = toxicity.fit([(counts, np.array([t for x in lists for t in x], np.int32), y)], epochs=60, rank=4)
-    one = m.scores(np.array([1, 1, 2]), np.array([3, 9, 3, 9], np.int32)) if len(m.terms) == 2 else None
-    if one is not None:
-        assert one[0] > 0.5 and one[1] > 0.5 and one[2] < 0.5
+    x = rng.integers(0, 2, (3000, 8))
+    y = x[:, 0] ^ x[:, 1]
+    words = [f"{a}{a}{k}word" for k, a in enumerate("kmnpqrst")]
+    docs = spark.createDataFrame([(k, " ".join(w for w, on in zip(words, row) if on)) for k, row in enumerate(x)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels, rank=4, epochs=60)
+    got = toxicity.score(docs, machine).where("held_out").collect()
+    assert len(got) > 400 and sum(r.predicted == y[r.doc_id] for r in got) >= 0.95 * len(got)
+    linear = toxicity.Machine(machine.bias, machine.terms, machine.linear, 0 * machine.factors)
+    alone = toxicity.score(docs, linear).where("held_out").collect()
+    assert sum(r.predicted == y[r.doc_id] for r in alone) < 0.8 * len(alone)
+
+
+def test_interactions_against_plain_counts():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2, (4000, 6)).astype(np.uint8)
+    y = ((x[:, 1] & x[:, 4]) | (rng.random(4000) < 0.1)).astype(float)
+    assert set(toxicity.interacting(x, y, 10).tolist()) >= {1, 4} and len(toxicity.interacting(x[:, [0, 2, 3]], y, 10)) == 0
+    assert toxicity.interacting(x, y, 1).tolist() in ([1], [4])
 
 
 def test_held_out_accuracy_and_clean_documents(spark):
@@ -206,6 +233,34 @@ def test_hosts_of_many_labels(spark):
     }
 
 
+def test_addresses_have_no_parents(spark):
+    entries = spark.createDataFrame([("3.4", 0, "block"), ("1.2.3.4", 5, "review"), ("[2001:db8::1]", 0, "block")], "entry_key string, at int, verdict string")
+    captures = [(1, "http://1.2.3.4/", 1), (2, "http://1.2.3.4:80/", 6), (3, "https://[2001:DB8::1]:443/x", 1), (4, "http://x.3.4/", 1)]
+    out = urllists.evaluate(spark.createDataFrame(captures, "id long, link string, day int"), entries, "id", "link", "day").collect()
+    assert {r.capture_id: r.verdict for r in out} == {1: "pass", 2: "review", 3: "block", 4: "block"}
+
+
+@pytest.mark.parametrize("width", [1, 7, 64])
+def test_as_of_join_against_all_intervals(spark, width):
+    rng = np.random.default_rng(width)
+    keys = ["bad.com", "www.bad.com", "a.www.bad.com", "good.org"]
+    log = {(keys[rng.integers(4)], int(rng.integers(-20, 200))): (None, "block", "review")[rng.integers(3)] for _ in range(60)}
+    entries = spark.createDataFrame([(k, at, v) for (k, at), v in log.items()], "entry_key string, at int, verdict string")
+    captures = [(k, f"http://{h}/p", int(rng.integers(-30, 220))) for k, h in enumerate(["a.www.bad.com", "www.bad.com", "bad.com", "x.good.org"] * 60)]
+
+    def verdict(host, day):
+        while "." in host:
+            before = [at for (k, at) in log if k == host and at <= day]
+            if before and log[host, max(before)]:
+                return log[host, max(before)]
+            host = host.split(".", 1)[1]
+        return "pass"
+
+    df = spark.createDataFrame(captures, "id long, link string, day int")
+    got = {r.capture_id: r.verdict for r in urllists.evaluate(df, entries, "id", "link", "day", width).collect()}
+    assert got == {k: verdict(u[7:-2], day) for k, u, day in captures}
+
+
 # --- mixing -----------------------------------------------------------------------------
 
 
