@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 #: Likelihood-ratio bound at which a neighbourhood stops growing: chi-square with one degree of freedom at 1e-6.
 GROWTH = 23.928
 LEAST_DISTINCT = 5
@@ -180,6 +182,10 @@ def segment_labels(distances: DataFrame, method: str = "adp", clusters: int = 3,
     return distances.groupBy("series_id", "q").applyInPandas(kernel, f"series_id {kind}, q double, seg long, label long, status string")
 
 
+#: The bandwidths of the sweep, a quarter of a decade apart from 0.001 to 1000, and the code's 1/2.
+SIGMAS = sorted({0.5, *(round(10 ** (k / 4 - 3), 6) for k in range(25))})
+
+
 def sigma_sweep(distances: DataFrame, sigmas: list[float], clusters: int = 3) -> DataFrame:
     """series_id, q, sigma, eigengap_k, n_used of spectral clusterings over bandwidths; each sigma is its own task."""
     grid = distances.withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
@@ -200,7 +206,8 @@ def value_clusters(rows: DataFrame, k: int, column: str = "x", tries: int = 10,
     from pyspark.ml.feature import VectorAssembler
 
     k = max(1, min(k, rows.count()))
-    data = VectorAssembler(inputCols=[column], outputCol="_f").transform(rows).persist()
+    rows = staged(rows, "values")
+    data = VectorAssembler(inputCols=[column], outputCol="_f").transform(rows)
     models = [KMeans(k=max(k, 2), seed=seed + s, featuresCol="_f", predictionCol="label").fit(data) for s in range(tries if k > 1 else 0)]
     if not models:
         return rows.withColumn("label", F.lit(0))

@@ -30,8 +30,8 @@ def localisation(points: DataFrame, ramps: DataFrame, keys: list[str]) -> DataFr
 def matched(points: DataFrame, truth: DataFrame, tau: int, keys: list[str]) -> DataFrame:
     """keys, t, truth: the pairs of a largest one-to-one matching within ``tau`` of least total displacement.
 
-    A group's points and truths can't interact across a gap of more than ``tau``,
-    so each run of them without such a gap is a task of its own.
+    A group's points and truths can't interact across a gap of more than ``tau``:
+    runs of them without such a gap are matched by themselves, some at a time.
     """
     both = points.select(*keys, F.col("t").alias("_x"), F.lit(True).alias("_p")).unionByName(truth.select(*keys, F.col("truth").alias("_x"), F.lit(False).alias("_p")))
     order = Window.partitionBy(*keys).orderBy("_x")
@@ -40,16 +40,21 @@ def matched(points: DataFrame, truth: DataFrame, tau: int, keys: list[str]) -> D
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def kernel(pdf):
+        import numpy as np
         import pandas as pd
 
-        p, c = sorted(pdf["_x"][pdf["_p"]]), sorted(pdf["_x"][~pdf["_p"]])
-        pairs = [(p[i], c[j]) for i, j in M.match_pairs(p, c, tau)] if p and c else []
+        pdf = pdf.sort_values("_x")
+        x, found, run = pdf["_x"].to_numpy(), pdf["_p"].to_numpy(), pdf["_run"].to_numpy()
+        borders, pairs = np.flatnonzero(np.diff(run)) + 1, []
+        for lo, hi in zip([0, *borders], [*borders, len(x)]):
+            p, c = x[lo:hi][found[lo:hi]].tolist(), x[lo:hi][~found[lo:hi]].tolist()
+            pairs += [(p[i], c[j]) for i, j in M.match_pairs(p, c, tau)] if p and c else []
         out = pd.DataFrame(pairs, columns=["t", "truth"])
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "t", "truth"]]
 
-    return runs.groupBy(*keys, "_run").applyInPandas(kernel, f"{kinds}, t long, truth long")
+    return runs.withColumn("_some", F.floor(F.col("_run") / 256)).groupBy(*keys, "_some").applyInPandas(kernel, f"{kinds}, t long, truth long")
 
 
 def ratio(a, b) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from . import clustering as C
 from . import distances as D
 from . import scoring as M
@@ -34,19 +35,24 @@ class SegmentClusterer:
     def _of(self, value, dim):
         return value[dim] if isinstance(value, dict) else value
 
+    def _labels(self, series: DataFrame, dim, stat: DataFrame, levels: list[float]):
+        """Change points, labelled segments and point labels of one dimension, for each level."""
+        one = stat.select("series_id", "t", "x", "n")
+        points = staged(T.change_points(stat, T.quantile_cutoffs(stat, levels)), "fit-points")
+        segs = T.segments(points)
+        d = D.circle_distances(S.samples(one, segs)) if self.periodic else S.exact_distances(one, segs)
+        labelled = staged(segs.join(C.segment_labels(d, self.method, self.clusters), ["series_id", "q", "seg"]), "fit-segments")
+        labels = S.point_labels(one, labelled, F.col("label"), "library")
+        return [df.withColumn("dim", F.lit(dim)) for df in (points, labelled, labels)]
+
+    def _statistic(self, series: DataFrame, dim, w: int) -> DataFrame:
+        one = series.where(F.col("dim") == dim).select("series_id", "t", "x", "n")
+        return staged(W.metric_derivative(one, w, self.periodic), "fit-statistic")
+
     def fit(self, series: DataFrame, dims: list[int]) -> FittedSegments:
-        parts = []
-        for dim in dims:
-            one = series.where(F.col("dim") == dim).drop("dim")
-            stat = W.metric_derivative(one, self._of(self.window, dim), self.periodic)
-            points = T.change_points(stat, T.quantile_cutoffs(stat, [self._of(self.quantile, dim)]))
-            segs = T.segments(points)
-            d = D.circle_distances(S.samples(one, segs)) if self.periodic else S.exact_distances(one, segs)
-            labelled = segs.join(C.segment_labels(d, self.method, self.clusters), ["series_id", "q", "seg"])
-            labels = S.point_labels(one, labelled, F.col("label"), "library")
-            parts.append((dim, points, labelled, labels))
-        add = lambda k: [p[k].withColumn("dim", F.lit(p[0])) for p in parts]
-        return FittedSegments(self, union(add(1)), union(add(2)), union(add(3)))
+        """The statistic, change points and labelled segments are written as they are made; point labels are lazy."""
+        parts = [self._labels(series, dim, self._statistic(series, dim, self._of(self.window, dim)), [self._of(self.quantile, dim)]) for dim in dims]
+        return FittedSegments(self, *(union([p[k] for p in parts]) for k in range(3)))
 
     def fit_predict(self, series: DataFrame, dims: list[int]) -> DataFrame:
         return self.fit(series, dims).point_labels()
@@ -54,17 +60,24 @@ class SegmentClusterer:
     def predict(self, series: DataFrame):
         raise NotImplementedError("labels belong to the series that was fitted")
 
+    def grid_scores(self, series: DataFrame, dims: list[int], windows=None, quantiles=None, lag: int = 100) -> DataFrame:
+        """window, quantile, score: VAMP-2 over the grid, averaged over series. One statistic and one plan for each window, for all quantiles."""
+        if windows is None and quantiles is None and isinstance(self.window, dict):
+            raise ValueError("nothing to search")
+        parts = []
+        for w in windows or list(range(32, 257, 32)):
+            found = [self._labels(series, dim, self._statistic(series, dim, w), list(quantiles or (0.5, 0.6, 0.7, 0.8, 0.9)))[2] for dim in dims]
+            labels = combined(union(found), ["series_id", "q"], self.compat)
+            parts.append(scores(labels, ["series_id", "q"], lag).groupBy(F.col("q").alias("quantile")).agg(F.avg("vamp2").alias("score")).withColumn("window", F.lit(w)))
+        return union(parts).select("window", "quantile", "score")
+
     def grid_search(self, series: DataFrame, dims: list[int], windows=None, quantiles=None, lag: int = 100):
-        """(best parameters, score): the first best VAMP-2 over the grid; the statistic is shared by quantiles."""
-        best = None
-        for w in windows or range(32, 257, 32):
-            for q in quantiles or (0.5, 0.6, 0.7, 0.8, 0.9):
-                found = replace(self, window=w, quantile=q).fit(series, dims).score(lag)
-                if found is not None and (best is None or found > best[1]):
-                    best = ({"window": w, "quantile": q}, found)
+        """(best parameters, score): the first best score over the grid, by window and then quantile."""
+        best = self.grid_scores(series, dims, windows, quantiles, lag).where("score is not null and not isnan(score)")
+        best = best.orderBy(F.col("score").desc(), "window", "quantile").first()
         if best is None:
             raise RuntimeError("no parameters could be scored")
-        return best
+        return {"window": best.window, "quantile": best.quantile}, best.score
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -83,17 +96,7 @@ class FittedSegments:
 
     def point_labels(self) -> DataFrame:
         """series_id, t, label: combined labels by descending frequency, from 1."""
-        by_point = self.labels_by_dim.groupBy("series_id", "t").agg(F.array_sort(F.collect_list(F.struct("dim", "label"))).alias("_d"))
-        digits = F.transform("_d", lambda s: F.coalesce(s["label"], F.lit(0)))
-        if self.model.compat:
-            code = F.aggregate(F.transform(digits, lambda v, i: v * F.pow(F.lit(10), i).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v).cast("string")
-        else:
-            code = F.array_join(F.transform(digits, lambda v: v.cast("string")), "-")
-        rows = by_point.select("series_id", "t", code.alias("_code"))
-        counts = rows.groupBy("series_id", "_code").count()
-        by = Window.partitionBy("series_id")
-        rank = F.dense_rank().over(by.orderBy(F.col("count").desc())) if self.model.compat else F.row_number().over(by.orderBy(F.col("count").desc(), "_code"))
-        return rows.join(counts.withColumn("label", rank), ["series_id", "_code"]).select("series_id", "t", "label")
+        return combined(self.labels_by_dim, ["series_id"], self.model.compat)
 
     def indicators(self) -> DataFrame:
         """series_id, dim, t, change: 1 at change points."""
@@ -101,11 +104,30 @@ class FittedSegments:
         return self.labels_by_dim.select("series_id", "dim", "t").join(marks, ["series_id", "dim", "t"], "left").withColumn("change", F.coalesce("change", F.lit(0)))
 
     def score(self, lag: int = 100) -> float | None:
-        """VAMP-2 of the labels, averaged over series; a single state scores 1, as its only value is kept."""
-        counts = M.lag_counts(self.point_labels(), "label", lag, ["series_id"])
-        states = F.count_distinct("from_state")
-        per = counts.groupBy("series_id").agg(states.alias("k")).join(M.vamp2(counts, ["series_id"]), "series_id")
-        return per.agg(F.avg(F.when(F.col("k") == 1, 1.0).otherwise(F.col("vamp2")))).first()[0]
+        """VAMP-2 of the labels, averaged over series."""
+        return scores(self.point_labels(), ["series_id"], lag).agg(F.avg("vamp2")).first()[0]
+
+
+def combined(labels_by_dim: DataFrame, keys: list[str], compat: bool) -> DataFrame:
+    """keys, t, label: the labels of all dimensions as one, by descending frequency, from 1."""
+    by_point = labels_by_dim.groupBy(*keys, "t").agg(F.array_sort(F.collect_list(F.struct("dim", "label"))).alias("_d"))  # a label a dimension
+    digits = F.transform("_d", lambda s: F.coalesce(s["label"], F.lit(0)))
+    if compat:
+        code = F.aggregate(F.transform(digits, lambda v, i: v * F.pow(F.lit(10), i).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v).cast("string")
+    else:
+        code = F.array_join(F.transform(digits, lambda v: v.cast("string")), "-")
+    rows = by_point.select(*keys, "t", code.alias("_code"))
+    counts = rows.groupBy(*keys, "_code").count()
+    by = Window.partitionBy(*keys)
+    rank = F.dense_rank().over(by.orderBy(F.col("count").desc())) if compat else F.row_number().over(by.orderBy(F.col("count").desc(), "_code"))
+    return rows.join(counts.withColumn("label", rank), [*keys, "_code"]).select(*keys, "t", "label")
+
+
+def scores(labels: DataFrame, keys: list[str], lag: int) -> DataFrame:
+    """keys, vamp2; a single state scores 1, as its only singular value is kept."""
+    counts = M.lag_counts(labels, "label", lag, keys)
+    per = counts.groupBy(*keys).agg(F.count_distinct("from_state").alias("k")).join(M.vamp2(counts, keys), keys)
+    return per.select(*keys, F.when(F.col("k") == 1, 1.0).otherwise(F.col("vamp2")).alias("vamp2"))
 
 
 def top_labels(labels: DataFrame, count: int) -> DataFrame:

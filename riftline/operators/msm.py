@@ -1,4 +1,9 @@
-"""Markov-model scores from transition counts: small matrices, on the driver."""
+"""Markov-model scores of transition counts, a row and a column for each state.
+
+With the reference laws of both ends of a transition diagonal, the operator to
+take singular values of is the count matrix scaled by the roots of its row and
+column sums: no matrix root is needed.
+"""
 
 from __future__ import annotations
 
@@ -6,48 +11,61 @@ import warnings
 
 import numpy as np
 
-REGULARISER, FLOOR = 1e-10, 1e-12
+FLOOR = 1e-12
+SCORES = {
+    "VAMP1": lambda s: s.sum(),
+    "VAMP2": lambda s: (s * s).sum(),
+    "VAMPE": lambda s: len(s) - (s * s).sum(),
+}
+
+
+def symmetric_power(a: np.ndarray, p: float) -> np.ndarray:
+    """A power of a symmetric matrix whose eigenvalues below ``FLOOR`` count as that."""
+    values, axes = np.linalg.eigh((a + a.T) / 2)
+    return (axes * np.clip(values, FLOOR, None) ** p) @ axes.T
 
 
-def matrix_power(a: np.ndarray, p: float) -> np.ndarray:
-    values, vectors = np.linalg.eigh(a)
-    return vectors @ np.diag(np.maximum(values, FLOOR) ** p) @ vectors.T
+def kinetic_spectrum(flow: np.ndarray) -> np.ndarray:
+    """Singular values, descending, without the trivial largest one if there are others. Scaling ``flow`` changes nothing."""
+    out, into = flow.sum(1), flow.sum(0)
+    scale = np.sqrt(np.outer(out, into))
+    scaled = np.divide(flow, scale, out=np.zeros_like(scale), where=scale > 0)
+    s = np.linalg.svd(scaled, compute_uv=False)
+    return s[min(1, len(s) - 1) :]
 
 
-def vamp(c00: np.ndarray, c01: np.ndarray, c11: np.ndarray, kind: str = "VAMP2") -> float:
-    """A VAMP score; the largest singular value is left out if there are others."""
-    eye = REGULARISER * np.eye(len(c00))
+def vamp(flow: np.ndarray, kind: str) -> float:
+    """A score of the flow between states; NaN where the spectrum can't be found."""
+    if kind not in SCORES:
+        raise ValueError(f"unknown score {kind!r}, not one of {', '.join(SCORES)}")
     try:
-        s = np.linalg.svd(matrix_power(c00 + eye, -0.5) @ c01 @ matrix_power(c11 + eye, -0.5), compute_uv=False)
+        return float(SCORES[kind](kinetic_spectrum(flow)))
     except np.linalg.LinAlgError:
         return float("nan")
-    s = np.sort(s)[::-1][1:] if len(s) > 1 else s
-    if kind == "VAMP1":
-        return float(s.sum())
-    if kind == "VAMP2":
-        return float((s**2).sum())
-    if kind == "VAMPE":
-        return float(len(s) - (s**2).sum())
-    raise ValueError(f"unknown score {kind!r}")
 
 
 def vamp_from_counts(counts: np.ndarray, kind: str = "VAMP2") -> float:
-    counts = np.asarray(counts, float)
+    """States that are never left are taken out of both sides, with a warning."""
+    counts = np.array(counts, float)
     if counts.ndim != 2 or counts.shape[0] != counts.shape[1]:
         raise ValueError("counts must be square")
-    active = counts.sum(1) > 0
-    if not active.all():
-        warnings.warn("states without outgoing counts are left out", stacklevel=2)
-        counts = counts[np.ix_(active, active)]
-    total = counts.sum()
-    return vamp(np.diag(counts.sum(1) / total), counts / total, np.diag(counts.sum(0) / total), kind)
+    left = np.flatnonzero(counts.any(1))
+    if len(left) < len(counts):
+        warnings.warn(f"{len(counts) - len(left)} states without outgoing counts are left out", stacklevel=2)
+    return vamp(counts[left][:, left], kind)
+
+
+def stationary(t: np.ndarray) -> np.ndarray:
+    """The law that a transition matrix keeps: pi (T - 1) = 0 and sum 1, as one least-squares system."""
+    n = len(t)
+    system = np.vstack([t.T - np.eye(n), np.ones(n)])
+    pi = np.abs(np.linalg.lstsq(system, np.append(np.zeros(n), 1.0), rcond=None)[0])
+    return pi / pi.sum()
 
 
 def vamp_from_transitions(t: np.ndarray, kind: str = "VAMP2") -> float:
-    values, vectors = np.linalg.eig(np.asarray(t, float).T)
-    pi = np.abs(np.real(vectors[:, np.argmin(np.abs(values - 1))]))
-    pi = pi / pi.sum()
-    return vamp(np.diag(pi), np.diag(pi) @ t, np.diag(pi @ t), kind)
+    t = np.asarray(t, float)
+    return vamp(stationary(t)[:, None] * t, kind)
 
 
 def reversible(counts: np.ndarray, tolerance: float = 1e-5, rounds: int = 10_000) -> np.ndarray:

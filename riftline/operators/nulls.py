@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .windows import inside, metric_derivative
+from .windows import KEY, chunked, inside, metric_derivative
 
 
 def digest(*parts):
@@ -36,10 +37,13 @@ def permuted(series: DataFrame, count: int, seed: int = 0) -> DataFrame:
     return as_series(rows.withColumn("t", (F.row_number().over(order) - 1).cast("long")))
 
 
-def block_bootstrap(series: DataFrame, count: int, length: int, scheme: str = "circular", seed: int = 0) -> DataFrame:
+def block_bootstrap(series: DataFrame, count: int, length: int | DataFrame, scheme: str = "circular", seed: int = 0) -> DataFrame:
+    """``length``: of all series, or a table series_id, block_length."""
     if scheme not in ("circular", "moving"):
         raise ValueError(f"unknown scheme {scheme!r}")
-    sizes = series.groupBy("series_id").agg(F.max("n").alias("n")).withColumn("_len", F.greatest(F.lit(1), F.least(F.lit(length).cast("long"), F.col("n"))))
+    sizes = series.groupBy("series_id").agg(F.max("n").alias("n"))
+    sizes = sizes.join(length, "series_id") if isinstance(length, DataFrame) else sizes.withColumn("block_length", F.lit(length))
+    sizes = sizes.withColumn("_len", F.greatest(F.lit(1), F.least(F.col("block_length").cast("long"), F.col("n")))).drop("block_length")
     blocks = replicates(sizes, count).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("_len")) - 1)))
     room = F.col("n") if scheme == "circular" else F.col("n") - F.col("_len") + 1
     begin = uniform_int(digest(F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("_block").cast("string")), room)
@@ -63,15 +67,35 @@ def max_cutoff(null: DataFrame, level: float) -> DataFrame:
     return pointwise_cutoff(top, level)
 
 
-def autocorrelation(series: DataFrame, max_lag: int) -> DataFrame:
-    """series_id, lag, rho: biased autocorrelation of the centred series, for short lags, in one pass over windows."""
-    by = Window.partitionBy("series_id")
-    rows = series.withColumn("c", F.col("x") - F.avg("x").over(by))
-    ahead = F.array(*[F.lead("c", k).over(by.orderBy("t")) if k else F.col("c") for k in range(max_lag + 1)])
-    rows = rows.withColumn("_a", ahead).select("series_id", "c", F.posexplode("_a").alias("lag", "_l"))
-    sums = rows.groupBy("series_id", "lag").agg(F.sum(F.col("c") * F.col("_l")).alias("s"))
-    base = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(by)
-    return sums.select("series_id", F.col("lag").cast("long").alias("lag"), (F.col("s") / F.nullif(base, F.lit(0.0))).alias("rho"))
+def autocorrelation(series: DataFrame, max_lag: int = 400) -> DataFrame:
+    """series_id, lag, rho: biased autocorrelation of the centred series.
+
+    Products are summed by lag inside chunks that see ``max_lag`` samples ahead,
+    so a long series is many tasks; the sums of all chunks are then added.
+    """
+    mean = series.groupBy("series_id").agg(F.avg("x").alias("_mean"))
+    rows = chunked(series.select("series_id", "t", "x", "n").join(mean, "series_id"), max_lag)
+
+    def kernel(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("t")
+        c = table.column("x").to_numpy() - table.column("_mean").to_numpy()
+        own = np.flatnonzero(table.column("_own").to_numpy())
+        sums = np.zeros(max_lag + 1)
+        if len(own):
+            a, b = own[0], own[-1] + 1
+            for k in range(min(max_lag, len(c) - 1 - a) + 1):
+                m = min(b, len(c) - k) - a
+                if m > 0:
+                    sums[k] = c[a : a + m] @ c[a + k : a + k + m]
+        return pa.table({"series_id": table.column("series_id").combine_chunks().take(pa.array(np.zeros(max_lag + 1, int))), "lag": np.arange(max_lag + 1), "n": np.full(max_lag + 1, table.column("n")[0].as_py()), "s": sums})
+
+    out = StructType([series.schema["series_id"], *StructType.fromDDL("lag long, n long, s double")])
+    sums = rows.groupBy(*KEY).applyInArrow(kernel, out).where("lag < n").groupBy("series_id", "lag").agg(F.sum("s").alias("s"))
+    base = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy("series_id"))  # a row a lag
+    return sums.select("series_id", "lag", (F.col("s") / F.nullif(base, F.lit(0.0))).alias("rho"))
 
 
 def integrated_time(x, c: float = 5.0, max_lag: int | None = None) -> tuple[float, int]:
@@ -106,10 +130,19 @@ def segment_times(series: DataFrame, segs: DataFrame, least: int, trim: int) ->
 
 
 def auto_block_length(series: DataFrame, segs: DataFrame, w: int, floor: int = 50, multiple: int = 8) -> DataFrame:
-    """series_id, block_length, tau: two passes over pilot segments, the second with a floor of some correlation times."""
+    """series_id, block_length, tau, tau_low, tau_high, n_segments, n_used, global_tau.
+
+    Two passes over pilot segments, the second with a floor of some correlation
+    times; ``block_length`` is the rounded median of the times that are left, 1
+    without any. ``global_tau`` is that of the undivided series.
+    """
     first = segment_times(series, segs, floor, w).groupBy("series_id").agg(F.median("tau").alias("m"))
     raised = segs.join(first, "series_id", "left").withColumn("_least", F.greatest(F.lit(floor), F.floor(F.lit(multiple) * F.coalesce("m", F.lit(0.0)))))
     long_enough = raised.where(F.col("end") - F.col("start") - 2 * w >= F.col("_least")).drop("m", "_least")
-    second = segment_times(series, long_enough, floor, w).groupBy("series_id").agg(F.median("tau").alias("tau"))
-    known = segs.select("series_id").distinct().join(second, "series_id", "left")
-    return known.select("series_id", F.greatest(F.lit(1), F.coalesce(F.bround("tau"), F.lit(1.0))).cast("int").alias("block_length"), "tau")
+    quartiles = F.percentile("tau", F.array(F.lit(0.25), F.lit(0.75)))
+    second = segment_times(series, long_enough, floor, w).groupBy("series_id").agg(F.median("tau").alias("tau"), quartiles.alias("_q"), F.count("*").alias("n_used"))
+    whole = series.groupBy("series_id").agg(F.max("n").alias("end")).select("series_id", F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("start"), "end")
+    whole = segment_times(series, whole, 1, 0).select("series_id", F.col("tau").alias("global_tau"))
+    known = segs.groupBy("series_id").agg(F.count("*").alias("n_segments")).join(second, "series_id", "left").join(whole, "series_id", "left")
+    length = F.greatest(F.lit(1), F.coalesce(F.bround("tau"), F.lit(1.0))).cast("int")
+    return known.select("series_id", length.alias("block_length"), "tau", F.col("_q")[0].alias("tau_low"), F.col("_q")[1].alias("tau_high"), "n_segments", F.coalesce("n_used", F.lit(0)).alias("n_used"), "global_tau")

@@ -86,6 +86,8 @@ def tolerance_curve(points: DataFrame, truth: DataFrame, taus: list[int], keys:
             rows.append((*key, tau, len(p), len(c), hits, precision, recall, 2 * precision * recall / (precision + recall) if hits else 0.0))
         return pd.DataFrame(rows, columns=[*keys, "tau", "n_predicted", "n_true", "n_matched", "precision", "recall", "f1"])
 
+    # both sides may come from one table: under names of their own they stay apart
+    points, truth = points.select(*[F.col(k).alias(k) for k in keys], "t"), truth.select(*[F.col(k).alias(k) for k in keys], "truth")
     return points.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(kernel, f"{kind}, tau long, n_predicted long, n_true long, n_matched long, precision double, recall double, f1 double")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..staging import staged
 
 KEY = ["series_id", "q"]
 
@@ -59,16 +60,20 @@ def exact_w2(a: Column, b: Column) -> Column:
 
 
 def exact_distances(series: DataFrame, segs: DataFrame) -> DataFrame:
-    return pairs(samples(series, segs)).select(*KEY, "i", "j", exact_w2(F.col("a"), F.col("b")).alias("d"))
+    return pairs(staged(samples(series, segs), "samples")).select(*KEY, "i", "j", exact_w2(F.col("a"), F.col("b")).alias("d"))
 
 
-def profile_distances(series: DataFrame, segs: DataFrame, levels: int = 512) -> DataFrame:
-    """W2 of ``levels``-point quantile profiles, an approximation of the exact distance."""
-    rows = samples(series, segs).withColumn("v", A.quantile_profile(F.col("v"), levels))
+def sample_profile_distances(rows: DataFrame, levels: int = 512) -> DataFrame:
+    """W2 of ``levels``-point quantile profiles of sorted samples ``v``, an approximation of the exact distance."""
+    rows = staged(rows.withColumn("v", A.quantile_profile(F.col("v"), levels)), "profiles")  # both sides of the pairs read it
     d = F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.sqrt(A.squared_gap(F.col("a"), F.col("b")) / levels))
     return pairs(rows).select(*KEY, "i", "j", d.alias("d"))
 
 
+def profile_distances(series: DataFrame, segs: DataFrame, levels: int = 512) -> DataFrame:
+    return sample_profile_distances(samples(series, segs), levels)
+
+
 def median_sigma(distances: DataFrame) -> DataFrame:
     """Half the median squared distance of distinct segments."""
     off = distances.where("i < j").groupBy(*KEY)

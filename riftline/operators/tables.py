@@ -163,7 +163,7 @@ def cutoff_alignment(df: DataFrame, level: float = 0.5, against: float = 0.75) -
 # --- bandwidths ----------------------------------------------------------------------
 
 
-def sigma_rules(grid: DataFrame, median_rule: DataFrame, columns: list[str], code: float = 0.5, paper: float = 5.0) -> DataFrame:
+def sigma_rules(grid: DataFrame, median_rule: DataFrame, columns: list[str], code: float = 0.5, paper: float = 1.0) -> DataFrame:
     """noise_sigma, rule and means of four ways to choose a bandwidth: two fixed ones, the median heuristic, the best of each trajectory."""
     pick = {"fixed (code)": grid.where(F.abs(F.col("sigma") - code) < 1e-9), "fixed (paper)": grid.where(F.abs(F.col("sigma") - paper) < 1e-9), "median heuristic": median_rule}
     pick["best (ceiling)"] = R.arg_row(grid, ["noise_sigma", "transition_length"], "v3", ["sigma"], largest=True)

@@ -164,7 +164,7 @@ def observed_quantile(stat: DataFrame, cutoffs: DataFrame, w: int) -> DataFrame:
 
 def entropic_derivative(series: DataFrame, w: int, reg: float = 0.05, iterations: int = 200) -> DataFrame:
     """Entropic W2 of joint windows of vectors ``x``: log-domain scaling, transport cost without the entropy term."""
-    rows = chunked(series, w)
+    rows = chunked(series, w, 256)  # a place costs w^2 times the iterations: short chunks, many tasks
 
     def kernel(pdf):
         import numpy as np

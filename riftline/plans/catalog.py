@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from ..operators import distances as D
 from ..operators import generators as G
 from ..operators import nulls as N
+from ..operators import pipelines as L
 from ..operators import reports as R
 from ..operators import scoring as M
 from ..operators import segments as S
 from ..operators import thresholds as T
 from ..operators import windows as W
+from ..operators.pipelines import AUTO_REPLICATES, REPLICATES
 from ..sources import series as src
 from ..staging import staged
 from . import sqltext as Q
@@ -135,9 +137,9 @@ def _(spark, sf_dir):
 
 @query("sinkhorn_derivative")
 def _(spark, sf_dir):
-    flip = G.correlation_flip(spark, 400, 200)
-    series = flip.select(F.lit("flip").alias("series_id"), "t", F.array("x1", "x2").alias("x"), F.lit(400).cast("long").alias("n"))
-    return W.entropic_derivative(series, 25)
+    flip = G.correlation_flip(spark)
+    series = flip.select(F.lit("flip").alias("series_id"), "t", F.array("x1", "x2").alias("x"), F.lit(2000).cast("long").alias("n"))
+    return W.entropic_derivative(series, 50)
 
 
 # --- cutoffs, runs, change points ---------------------------------------------
@@ -170,14 +172,14 @@ def _(spark, sf_dir):
 
 # --- null distributions ---------------------------------------------------------
 
-_PERM = f"""{Q.SER}, rep AS (SELECT *, unnest(range(3)) AS rep FROM ser), perm AS (
+_PERM = f"""{Q.SER}, rep AS (SELECT *, unnest(range(199)) AS rep FROM ser), perm AS (
   SELECT series_id, rep, row_number() OVER (PARTITION BY series_id, rep ORDER BY md5('0-' || rep || '-' || t), t) - 1 AS t, x, n FROM rep),
 {Q.stat(25, "perm", "series_id, rep", "nul")}, vn AS (SELECT * FROM nul WHERE (t >= 25 AND t < n - 25) OR n <= 50)"""
 
 
 @query("perm_null_cutoff", f"WITH {_PERM} SELECT series_id, 0.5::DOUBLE AS q, round(quantile_cont(g, 0.5), 6) AS cutoff FROM vn GROUP BY series_id")
 def _(spark, sf_dir):
-    null = N.null_statistics(N.permuted(src.events(spark, sf_dir), 3), WIDTH)
+    null = N.null_statistics(N.permuted(src.events(spark, sf_dir), REPLICATES), WIDTH)
     return rounded(N.pointwise_cutoff(null, 0.5), "cutoff").select("series_id", "q", "cutoff")
 
 
@@ -186,14 +188,14 @@ def _(spark, sf_dir):
     f"WITH {_PERM}, m AS (SELECT series_id, rep, max(g) AS g FROM vn GROUP BY series_id, rep) SELECT series_id, 0.5::DOUBLE AS q, round(quantile_cont(g, 0.5), 6) AS cutoff FROM m GROUP BY series_id",
 )
 def _(spark, sf_dir):
-    null = N.null_statistics(N.permuted(src.events(spark, sf_dir), 3), WIDTH)
+    null = N.null_statistics(N.permuted(src.events(spark, sf_dir), REPLICATES), WIDTH)
     return rounded(N.max_cutoff(null, 0.5), "cutoff").select("series_id", "q", "cutoff")
 
 
 def _block_sql(scheme: str) -> str:
     room = "n" if scheme == "circular" else "n - len + 1"
     return f"""WITH {Q.SER}, sz AS (SELECT series_id, max(n) AS n, greatest(1, least(10, max(n))) AS len FROM ser GROUP BY series_id),
-    blk AS (SELECT *, unnest(range(ceil(n / len)::BIGINT)) AS block FROM (SELECT *, unnest(range(2)) AS rep FROM sz)),
+    blk AS (SELECT *, unnest(range(ceil(n / len)::BIGINT)) AS block FROM (SELECT *, unnest(range(30)) AS rep FROM sz)),
     at AS (SELECT *, {Q.uniform("'0-' || rep || '-' || block", f"({room})")} AS start FROM blk),
     pl AS (SELECT series_id, rep, n, block * len + k AS place, (start + k) % n AS t FROM (SELECT *, unnest(range(len)) AS k FROM at)),
     boot AS (SELECT pl.series_id, rep, place AS t, x, pl.n FROM pl JOIN ser ON pl.series_id = ser.series_id AND pl.t = ser.t WHERE place < pl.n),
@@ -205,18 +207,18 @@ for _scheme in ("circular", "moving"):
 
     @query(f"block_null_cutoff_{_scheme}", _block_sql(_scheme))
     def _(spark, sf_dir, scheme=_scheme):
-        null = N.null_statistics(N.block_bootstrap(src.events(spark, sf_dir), 2, 10, scheme), WIDTH)
+        null = N.null_statistics(N.block_bootstrap(src.events(spark, sf_dir), AUTO_REPLICATES, 10, scheme), WIDTH)
         return rounded(N.pointwise_cutoff(null, 0.5), "cutoff").select("series_id", "q", "cutoff")
 
 
 @query(
-    "acf_short",
+    "acf",
     f"""WITH {Q.SER}, c AS (SELECT series_id, t, x - avg(x) OVER (PARTITION BY series_id) AS c FROM ser),
-    s AS (SELECT a.series_id, b.t - a.t AS lag, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 5 GROUP BY ALL)
+    s AS (SELECT a.series_id, b.t - a.t AS lag, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.series_id = b.series_id AND b.t BETWEEN a.t AND a.t + 400 GROUP BY ALL)
     SELECT series_id, lag, round(s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY series_id), 6) AS rho FROM s""",
 )
 def _(spark, sf_dir):
-    return rounded(N.autocorrelation(src.events(spark, sf_dir), 5), "rho")
+    return rounded(N.autocorrelation(src.events(spark, sf_dir)), "rho")
 
 
 @query("auto_block_length")
@@ -225,20 +227,10 @@ def _(spark, sf_dir):
     return N.auto_block_length(series, segs, WIDTH)
 
 
-#: Replicates of the published nulls.
-REPLICATES = 199
-
-
 @query("three_rules")
 def _(spark, sf_dir):
-    """Change points by a fixed quantile, a permutation null and a block null, from one statistic."""
-    stat = stat_table(spark, sf_dir)
-    series = stat.select("series_id", "t", "x", "n")
-    fixed = T.quantile_cutoffs(stat, [LEVEL])
-    shuffle = N.pointwise_cutoff(N.null_statistics(N.permuted(series, REPLICATES), WIDTH), 0.5)
-    blocks = N.pointwise_cutoff(N.null_statistics(N.block_bootstrap(series, REPLICATES, 10), WIDTH), 0.5)
-    out = [T.change_points(stat, c.select("series_id", "q", "cutoff")).withColumn("rule", F.lit(r)) for r, c in (("fixed", fixed), ("shuffle", shuffle), ("block", blocks))]
-    return out[0].union(out[1]).union(out[2])
+    """Change points by a fixed quantile, a permutation null and a block null of estimated length, from one statistic."""
+    return L.by_rules(stat_table(spark, sf_dir), WIDTH, LEVEL, replicates=REPLICATES)
 
 
 # --- segments -------------------------------------------------------------------
@@ -290,15 +282,11 @@ def _(spark, sf_dir):
     return rounded(rows.select("series_id", "q", "i", "j", S.exact_w2(F.col("a"), F.col("b")).alias("d")), "d")
 
 
-_PROFILES = f"{_SAMPLES}, pr AS (SELECT series_id, q, seg, {Q.profile('v', 64)} AS p FROM sm), pd AS (SELECT a.series_id, a.q, a.seg AS i, b.seg AS j, CASE WHEN a.seg = b.seg THEN 0.0::DOUBLE ELSE sqrt({Q.gap('a.p', 'b.p')} / 64) END AS d FROM pr a JOIN pr b ON a.series_id = b.series_id AND a.seg <= b.seg)"
+_PROFILES = f"{_SAMPLES}, pr AS (SELECT series_id, q, seg, {Q.profile('v', 512)} AS p FROM sm), pd AS (SELECT a.series_id, a.q, a.seg AS i, b.seg AS j, CASE WHEN a.seg = b.seg THEN 0.0::DOUBLE ELSE sqrt({Q.gap('a.p', 'b.p')} / 512) END AS d FROM pr a JOIN pr b ON a.series_id = b.series_id AND a.seg <= b.seg)"
 
 
 def _profile_distances(spark, sf_dir):
-    from ..functions import arrays as A
-
-    rows = _samples(spark, sf_dir).withColumn("v", A.quantile_profile(F.col("v"), 64))
-    d = F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.sqrt(A.squared_gap(F.col("a"), F.col("b")) / 64))
-    return S.pairs(rows).select("series_id", "q", "i", "j", d.alias("d"))
+    return S.sample_profile_distances(_samples(spark, sf_dir))
 
 
 @query("quantile_profile_w2", f"WITH {_PROFILES} SELECT series_id, q, i, j, round(d, 6) AS d FROM pd")
@@ -382,10 +370,10 @@ def _(spark, sf_dir):
     return rounded(M.near_hits(points, _truth(src.events(spark, sf_dir)), 10, ["series_id"]), "precision", "recall")
 
 
-@query("tolerance_curve")
+@query("tolerance_curve", Q.curve(Q.points(25, [LEVEL], "peak") + ", pts AS (SELECT series_id, t FROM cps)", _TRUTH, [0, 5, 10, 25, 50]))
 def _(spark, sf_dir):
     points = cut_points(spark, sf_dir, [LEVEL], "peak").select("series_id", "t")
-    return M.tolerance_curve(points, _truth(src.events(spark, sf_dir)), [0, 5, 10, 25, 50], ["series_id"])
+    return rounded(M.tolerance_curve(points, _truth(src.events(spark, sf_dir)), [0, 5, 10, 25, 50], ["series_id"]), "precision", "recall", "f1")
 
 
 @query(
@@ -411,8 +399,8 @@ def _(spark, sf_dir):
 
 _LAWS = f"""tl AS (SELECT event_type, count(*)::DOUBLE / sum(count(*)) OVER () AS m, list_sort(list(value)) AS v FROM events GROUP BY event_type HAVING count(*) >= 10),
 pl AS (SELECT user_id % 4 AS u, count(*)::DOUBLE / sum(count(*)) OVER () AS m, list_sort(list(value)) AS v FROM events GROUP BY user_id % 4 HAVING count(*) >= 10),
-tp AS (SELECT event_type, m, {Q.profile("v", 64)} AS p FROM tl), pp AS (SELECT u, m, {Q.profile("v", 64)} AS p FROM pl),
-dd AS (SELECT event_type, u, tp.m AS ma, pp.m AS mb, sqrt({Q.gap("tp.p", "pp.p")} / 64) AS d FROM tp, pp)"""
+tp AS (SELECT event_type, m, {Q.profile("v", 512)} AS p FROM tl), pp AS (SELECT u, m, {Q.profile("v", 512)} AS p FROM pl),
+dd AS (SELECT event_type, u, tp.m AS ma, pp.m AS mb, sqrt({Q.gap("tp.p", "pp.p")} / 512) AS d FROM tp, pp)"""
 
 
 @query(
@@ -422,7 +410,7 @@ dd AS (SELECT event_type, u, tp.m AS ma, pp.m AS mb, sqrt({Q.gap("tp.p", "pp.p")
 )
 def _(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(F.lit(0).alias("k"), "event_type", (F.col("user_id") % 4).alias("u"), F.col("value").alias("x"))
-    return rounded(M.law_errors(M.laws(rows, "event_type", ["k"], 64), M.laws(rows, "u", ["k"], 64), "event_type", "u", ["k"]), "fidelity", "coverage")
+    return rounded(M.law_errors(M.laws(rows, "event_type", ["k"]), M.laws(rows, "u", ["k"]), "event_type", "u", ["k"]), "fidelity", "coverage")
 
 
 _LAGS = """lg AS (SELECT conv_id % 3 AS part, role AS from_state, lead(role, 1) OVER (PARTITION BY conv_id ORDER BY turn) AS to_state FROM conversations),

@@ -137,14 +137,6 @@ def _(spark, sf_dir):
     return rounded(E.localisation(_hot(series), _ramps(series), ["series_id"]), "mean_abs", "mean_signed", "p90_abs")
 
 
-def _greedy(lists: str, keys: str) -> str:
-    """CTEs up to ``hits`` (keys, tau, np, nc, m): on a line, pairing from the left and dropping what is too far behind matches most."""
-    return f"""st AS (SELECT {keys}, tau, p, c, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS m FROM {lists}
-      UNION ALL SELECT {keys}, tau, p, c, CASE WHEN c[j] < p[i] - tau THEN i ELSE i + 1 END, CASE WHEN p[i] < c[j] - tau THEN j ELSE j + 1 END, m + CAST(abs(p[i] - c[j]) <= tau AS BIGINT)
-      FROM st WHERE i <= len(p) AND j <= len(c)),
-    hits AS (SELECT {keys}, tau, any_value(len(p)) AS np, any_value(len(c)) AS nc, max(m) AS m FROM st GROUP BY {keys}, tau)"""
-
-
 _SCORES = """m::DOUBLE / np AS p, m::DOUBLE / nc AS r"""
 _ENDS = f"{_RAMPS}, {_HOT}, ends AS (SELECT series_id, start AS c FROM ramps UNION ALL SELECT series_id, stop FROM ramps)"
 _LISTS = """lists AS (SELECT a.series_id, tau, p, c FROM (SELECT series_id, list(t ORDER BY t) AS p FROM hot GROUP BY 1) a
@@ -153,7 +145,7 @@ _LISTS = """lists AS (SELECT a.series_id, tau, p, c FROM (SELECT series_id, list
 
 @query(
     "pair_scores",
-    f"""WITH RECURSIVE {Q.SER}, {_ENDS}, taus AS (SELECT 10 AS tau), {_LISTS}, {_greedy("lists", "series_id")}, s AS (SELECT series_id, {_SCORES} FROM hits)
+    f"""WITH RECURSIVE {Q.SER}, {_ENDS}, taus AS (SELECT 10 AS tau), {_LISTS}, {Q.greedy("lists", "series_id")}, s AS (SELECT series_id, {_SCORES} FROM hits)
     SELECT series_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s""",
 )
 def _(spark, sf_dir):
@@ -173,7 +165,7 @@ def _sized(ramps):
     "recall_by_size",
     f"""WITH RECURSIVE {Q.SER}, {_RAMPS}, {_HOT}, {_SIZES}, lists AS (SELECT a.series_id, part, 10 AS tau, p, c FROM (SELECT series_id, list(t ORDER BY t) AS p FROM hot GROUP BY 1) a
       JOIN (SELECT series_id, part, list(c ORDER BY c) AS c FROM (SELECT series_id, size AS part, c FROM sized UNION ALL SELECT series_id, 'all', c FROM sized) GROUP BY ALL) b ON a.series_id = b.series_id),
-    {_greedy("lists", "series_id, part")}
+    {Q.greedy("lists", "series_id, part")}
     SELECT series_id, round(max(CASE WHEN part = 'small' THEN m / nc END), 6) AS small_recall, round(max(CASE WHEN part = 'big' THEN m / nc END), 6) AS big_recall,
     round(max(CASE WHEN part = 'all' THEN m / np END), 6) AS "precision" FROM (SELECT * REPLACE (m::DOUBLE AS m) FROM hits) GROUP BY series_id""",
 )
@@ -185,7 +177,7 @@ def _(spark, sf_dir):
 @query(
     "classified_hits",
     f"""WITH RECURSIVE {Q.SER}, {_RAMPS}, {_HOT}, {_SIZES}, lists AS (SELECT a.series_id, size, 10 AS tau, p, c FROM (SELECT series_id, list(t ORDER BY t) AS p FROM hot GROUP BY 1) a
-      JOIN (SELECT series_id, size, list(c ORDER BY c) AS c FROM sized GROUP BY ALL) b ON a.series_id = b.series_id), {_greedy("lists", "series_id, size")}
+      JOIN (SELECT series_id, size, list(c ORDER BY c) AS c FROM sized GROUP BY ALL) b ON a.series_id = b.series_id), {Q.greedy("lists", "series_id, size")}
     SELECT series_id, CAST(sum(CASE WHEN size = 'small' THEN m END) AS BIGINT) AS n_small, CAST(sum(CASE WHEN size = 'big' THEN m END) AS BIGINT) AS n_big FROM hits GROUP BY series_id""",
 )
 def _(spark, sf_dir):
@@ -200,7 +192,7 @@ def _(spark, sf_dir):
     trials AS (SELECT ratio, n, trial FROM ratios, range(40) q(trial)),
     draws AS (SELECT ratio, trial, CAST('0x' || substr(md5('2026-' || ratio || '-' || trial || '-' || k), 1, 12) AS BIGINT) % 6598 + 1 AS t FROM (SELECT *, unnest(range(n)) AS k FROM trials)),
     lists AS (SELECT a.ratio, trial, 10 AS tau, p, c FROM (SELECT ratio, trial, list(t ORDER BY t) AS p FROM draws GROUP BY ALL) a JOIN (SELECT ratio, list(c ORDER BY c) AS c FROM truths GROUP BY 1) b ON a.ratio = b.ratio),
-    {_greedy("lists", "ratio, trial")} SELECT ratio, round(sum(m)::DOUBLE / (32 * 40), 6) AS chance FROM hits GROUP BY ratio""",
+    {Q.greedy("lists", "ratio, trial")} SELECT ratio, round(sum(m)::DOUBLE / (32 * 40), 6) AS chance FROM hits GROUP BY ratio""",
 )
 def _(spark, sf_dir):
     counts = spark.createDataFrame([(1, 60), (3, 25)], "ratio int, n int")

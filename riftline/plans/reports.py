@@ -16,7 +16,7 @@ from ..operators.model import SegmentClusterer, top_labels
 from ..sources import series as src
 from ..sources import sinks
 from . import sqltext as Q
-from .catalog import _samples, cut_segments, query, read, rounded
+from .catalog import LEVEL, cut_segments, query, read, rounded
 
 
 @query(
@@ -276,11 +276,9 @@ def _(spark, sf_dir):
 
 
 def _labels(spark, sf_dir, method):
-    from ..functions import arrays as A
-
-    rows = _samples(spark, sf_dir).withColumn("v", A.quantile_profile(F.col("v"), 64))
-    d = S.pairs(rows).select("series_id", "q", "i", "j", F.sqrt(A.squared_gap(F.col("a"), F.col("b")) / 64).alias("d"))
-    return C.segment_labels(d, method)
+    """Of change-point segments."""
+    series, segs = cut_segments(spark, sf_dir, True)
+    return C.segment_labels(S.profile_distances(series, segs), method)
 
 
 @query("adp_segments")
@@ -295,15 +293,14 @@ def _(spark, sf_dir):
 
 @query("sigma_sweep")
 def _(spark, sf_dir):
-    from .catalog import _profile_distances
-
-    return C.sigma_sweep(_profile_distances(spark, sf_dir), [0.01, 0.5, 1.0, 100.0])
+    series, segs = cut_segments(spark, sf_dir, True)
+    return C.sigma_sweep(S.profile_distances(series, segs), C.SIGMAS)
 
 
 @query("kmeans_values")
 def _(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"))
-    return C.value_clusters(rows, 3, tries=2)
+    return C.value_clusters(rows, 3)
 
 
 @query("circle_segment_w2")
@@ -318,13 +315,41 @@ def _(spark, sf_dir):
     return D.project(rows, ["l_quantity", "l_discount", "l_tax"])
 
 
+@query(
+    "pca_two_columns",
+    """WITH c AS (SELECT var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS d FROM lineitem), e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS m FROM c),
+    v AS (SELECT (m - d) / sqrt((m - d) * (m - d) + b * b) AS p, b / sqrt((m - d) * (m - d) + b * b) AS q FROM e)
+    SELECT l_orderkey, l_linenumber, round(l_quantity * p + l_discount * q, 5) AS pc1, round(l_discount * p - l_quantity * q, 5) AS pc2 FROM lineitem, v""",
+)
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return rounded(D.project(rows, ["l_quantity", "l_discount"]), "pc1", "pc2", digits=5).select("l_orderkey", "l_linenumber", "pc1", "pc2")
+
+
 @query("fit_predict")
 def _(spark, sf_dir):
     series = src.events(spark, sf_dir).withColumn("dim", F.lit(0))
     return SegmentClusterer(window=100, quantile=0.95, method="spectral").fit_predict(series, [0])
 
 
-@query("top_clusters")
+@query("fit_predict_adp")
+def _(spark, sf_dir):
+    series = src.events(spark, sf_dir).withColumn("dim", F.lit(0))
+    return SegmentClusterer(window=100, quantile=0.75, method="adp").fit_predict(series, [0])
+
+
+@query("grid_scores")
+def _(spark, sf_dir):
+    """The grid search's scores: all windows and quantiles of the default grid."""
+    series = src.events(spark, sf_dir).withColumn("dim", F.lit(0))
+    return SegmentClusterer(method="spectral").grid_scores(series, [0])
+
+
+@query(
+    "top_clusters",
+    f"""WITH {Q.segs(25, LEVEL, True)} SELECT series_id, label, n FROM (SELECT series_id, CAST(seg % 7 AS BIGINT) AS label, count(*) AS n FROM mem GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, label) <= 3""",
+)
 def _(spark, sf_dir):
     series, segs = cut_segments(spark, sf_dir, True)
     return top_labels(S.point_labels(series, segs, F.col("seg") % 7), 3)

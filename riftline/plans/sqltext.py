@@ -48,10 +48,16 @@ EDGES = {
 }
 
 
-def points(w: int, levels, rule: str = "gradient") -> str:
-    """CTEs up to ``cps`` (series_id, q, t)."""
+def mean_stat(w: int) -> str:
+    over = "OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN"
+    return f"""stat AS (SELECT series_id, t, x, n, CASE WHEN t >= {w} AND t < n - {w} THEN round(abs(
+      avg(x) {over} CURRENT ROW AND {w - 1} FOLLOWING) - avg(x) {over} {w} PRECEDING AND 1 PRECEDING)), 9) ELSE 0.0::DOUBLE END AS g FROM ser)"""
+
+
+def points(w: int, levels, rule: str = "gradient", source: str = "") -> str:
+    """CTEs up to ``cps`` (series_id, q, t); ``source``: the statistic's CTE, if it isn't W2."""
     ends = "" if rule == "peak" else f" UNION {ENDS}"
-    return f"{SER}, {stat(w)}, {GRAD}, {cuts(levels)}, {CAND}, cps AS (SELECT DISTINCT series_id, q, CAST(t AS BIGINT) AS t FROM ({EDGES[rule]}{ends}))"
+    return f"{SER}, {source or stat(w)}, {GRAD}, {cuts(levels)}, {CAND}, cps AS (SELECT DISTINCT series_id, q, CAST(t AS BIGINT) AS t FROM ({EDGES[rule]}{ends}))"
 
 
 def segs(w: int, level: float, append_end: bool = False) -> str:
@@ -76,3 +82,21 @@ def gap(a: str, b: str) -> str:
 
 def uniform(text: str, modulus: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) % {modulus})"
+
+
+def greedy(lists: str, keys: str) -> str:
+    """CTEs up to ``hits`` (keys, tau, np, nc, m): on a line, pairing from the left and dropping what is too far behind matches most."""
+    return f"""st AS (SELECT {keys}, tau, p, c, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS m FROM {lists}
+      UNION ALL SELECT {keys}, tau, p, c, CASE WHEN c[j] < p[i] - tau THEN i ELSE i + 1 END, CASE WHEN p[i] < c[j] - tau THEN j ELSE j + 1 END, m + CAST(abs(p[i] - c[j]) <= tau AS BIGINT)
+      FROM st WHERE i <= len(p) AND j <= len(c)),
+    hits AS (SELECT {keys}, tau, any_value(len(p)) AS np, any_value(len(c)) AS nc, max(m) AS m FROM st GROUP BY {keys}, tau)"""
+
+
+def curve(points_sql: str, truth: str, taus, keys: str = "series_id") -> str:
+    """The whole SQL of a tolerance curve: ``points_sql`` are CTEs up to ``pts`` (keys, t), ``truth`` a CTE truth (series_id, truth)."""
+    key = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""WITH RECURSIVE {points_sql}, {truth}, taus AS (SELECT unnest({list(taus)}) AS tau), lists AS (SELECT {key}, tau, p, c
+      FROM (SELECT {keys}, list(t ORDER BY t) AS p FROM pts GROUP BY ALL) a JOIN (SELECT series_id, list(truth ORDER BY truth) AS c FROM truth GROUP BY 1) b ON a.series_id = b.series_id, taus), {greedy("lists", keys)},
+    s AS (SELECT *, m::DOUBLE / np AS p, m::DOUBLE / nc AS r FROM hits)
+    SELECT {keys}, CAST(tau AS BIGINT) AS tau, CAST(np AS BIGINT) AS n_predicted, CAST(nc AS BIGINT) AS n_true, m AS n_matched, round(p, 6) AS "precision", round(r, 6) AS recall,
+      round(CASE WHEN m > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s"""

@@ -29,22 +29,46 @@ def events(spark: SparkSession, sf_dir: str, value=None) -> DataFrame:
     return from_table(table, F.col("event_type"), ["ts", "event_id"], F.col("value") if value is None else value, F.to_date("ts"))
 
 
-def text_series(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace-separated numbers of whole files, in order: file, t, x, n."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("series_id"), F.filter(F.split("value", r"\s+"), lambda s: s != "").alias("v"))
+def name_of(path, pattern: str | None):
+    """A file's series: its name, or what the first group of ``pattern`` finds in its path."""
+    return F.element_at(F.split(path, "/"), -1) if pattern is None else F.regexp_extract(path, pattern, 1)
+
+
+def text_series(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Whitespace-separated numbers of whole files, in order: series_id, t, x, n."""
+    name = name_of(F.col("_metadata.file_path"), pattern)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(name.alias("series_id"), F.filter(F.split("value", r"\s+"), lambda s: s != "").alias("v"))
     return files.select("series_id", F.size("v").cast("long").alias("n"), F.posexplode("v").alias("t", "x")).select("series_id", F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"), "n")
 
 
-def text_columns(spark: SparkSession, path: str, drop_first: bool = False) -> DataFrame:
-    """Rows of numbers: file, t, x (array), without the first column if asked."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("series_id"), F.filter(F.split("value", r"\n"), lambda s: F.trim(s) != "").alias("v"))
+def arrays(spark: SparkSession, path: str, key: str = "series_id", chunk: int = 1 << 20) -> DataFrame:
+    """key, t, x from what ``to_arrays`` wrote."""
+    rows = spark.read.parquet(path)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def unpack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, part, data in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                x = np.frombuffer(data.as_py(), "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(x), k.type), pa.array(np.arange(len(x)) + part * chunk), pa.array(x)], [key, "t", "x"])
+
+    return rows.select(key, "part", "data").mapInArrow(unpack, f"{key} {kind}, t long, x double")
+
+
+def text_columns(spark: SparkSession, path: str, drop_first: bool = False, pattern: str | None = None) -> DataFrame:
+    """Rows of numbers: series_id, t, x (array), without the first column if asked."""
+    name = name_of(F.col("_metadata.file_path"), pattern)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(name.alias("series_id"), F.filter(F.split("value", r"\n"), lambda s: F.trim(s) != "").alias("v"))
     rows = files.select("series_id", F.posexplode("v").alias("t", "line"))
     x = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.cast("double"))
     return rows.select("series_id", F.col("t").cast("long").alias("t"), (F.slice(x, 2, F.size(x)) if drop_first else x).alias("x"))
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = r"^sigma_(\d+)_transition_(\d+)\.txt$", truth: str = "_GroundTruth.txt") -> DataFrame:
-    """name, sigma, transition_length of trajectories that have a ground-truth sibling."""
+    """name, sigma, transition_length of trajectories that have a ground-truth sibling. Files are listed, not read: only their paths are asked for."""
     names = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
     found = names.select("name", F.regexp_extract("name", pattern, 1).alias("s"), F.regexp_extract("name", pattern, 2).alias("l")).where("s <> ''")
     known = names.where(F.col("name").endswith(truth)).select(F.regexp_replace("name", truth.replace(".", r"\.") + "$", ".txt").alias("name"))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from riftline.plans import catalog, evaluations, reports  # noqa: F401  these register their queries
+from riftline.plans import catalog, compositions, connectors, evaluations, reports  # noqa: F401  these register their queries
 
 DATA = "/root/testdata/sf0.001"
 

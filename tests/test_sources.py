@@ -43,6 +43,6 @@ def test_sinks(spark, tmp_path):
     new = spark.createDataFrame([(2, 7.0), (3, 8.0)], "k int, v double")
     assert sorted((r.k, r.v) for r in sinks.merged(df, new, ["k"]).collect()) == [(1, 0.5), (2, None), (3, 8.0)]
     assert [r.k for r in sinks.remaining(new, df, ["k"]).collect()] == [3]
-    sinks.to_text(df, str(tmp_path / "text"), "v", 4)
-    sinks.to_report({"mean": 0.25, "n": 3}, str(tmp_path / "report"), spark)
+    sinks.to_text(df, str(tmp_path / "text"), "v", "k", decimals=4)
+    sinks.to_report({"mean": 0.25, "n": 3}, str(tmp_path / "report" / "lines.txt"), spark)
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["mean: 0.2500", "n: 3"]
