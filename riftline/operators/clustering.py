@@ -36,18 +36,20 @@ def intrinsic_dimension(ordered: np.ndarray) -> float:
     return max(1.0, float(len(ratio) / total)) if total > 0 else 1.0
 
 
-def density_peaks(d: np.ndarray, z: float = 1.65) -> np.ndarray:
+def density_peaks(d: np.ndarray, z: float = 1.65, most: int | None = None) -> np.ndarray:
     """Advanced density peaks: labels from adaptive-neighbourhood densities and peaks merged within ``z`` errors.
 
-    A neighbourhood grows to twice the root of the number of points at most:
-    beyond the smaller clusters' sizes equal densities say nothing.
+    A neighbourhood grows until its likelihood test stops it, to ``most`` points
+    at most. The published rule has no bound (``most=len(d)``); by default it is
+    twice the root of the number of points, as beyond the smaller clusters' sizes
+    equal densities say nothing and small groups merge.
     """
     n = len(d)
     near = np.argsort(d, axis=1, kind="stable")
     ordered = np.take_along_axis(d, near, 1)
     dim = intrinsic_dimension(ordered)
     log_volume = dim * np.log(np.maximum(ordered, 1e-300))
-    most = min(n - 1, max(3, int(2 * n**0.5)))
+    most = min(n - 1, max(3, int(2 * n**0.5)) if most is None else most)
     k_of = np.full(n, min(3, most))
     for i in range(n):
         for k in range(min(3, most), most + 1):
