@@ -54,6 +54,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,7 +236,11 @@ def split_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first], pairs[many]
 
 
-def profiles(docs: DataFrame, width: int, percent: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def profiles(docs: DataFrame, width: int, percent: int, buckets: int, id_col: str, text_col: str, sets: bool) -> DataFrame:
+    """The documents with their sets' names and sketches (``sets``), or their signatures.
+
+    The two are read at different times; hashing the texts twice costs less than a written copy of all signatures.
+    """
     threshold = Threshold(percent)
 
     def batches(it):
@@ -255,10 +260,11 @@ def profiles(docs: DataFrame, width: int, percent: int, buckets: int, id_col: st
         for batch in it:
             for first, sizes, h in shingle_sets(batch.column(1), width):
                 a, b = set_ids(sizes, h)
-                sid = np.stack([a, b], 1).view(np.uint8)
-                yield profile_batch(
-                    DOC, len(sizes), doc_id=batch.column(0).slice(first, len(sizes)), n=pa.array(sizes), h=pa.array(a.view(np.int64)), sid=binary(sid), sketch=binary(sketches(sizes, h))
-                )
+                if sets:
+                    sid = np.stack([a, b], 1).view(np.uint8)
+                    ids = batch.column(0).slice(first, len(sizes))
+                    yield profile_batch(DOC, len(sizes), doc_id=ids, n=pa.array(sizes), h=pa.array(a.view(np.int64)), sid=binary(sid), sketch=binary(sketches(sizes, h)))
+                    continue
                 rows, sig = signatures(sizes, h, threshold)
                 held.append(np.stack([sig, a[rows]], 1))
                 count += len(sig)
@@ -273,7 +279,7 @@ def profiles(docs: DataFrame, width: int, percent: int, buckets: int, id_col: st
 
 
 def shared_signatures(it):
-    """Members of regions of which several tasks sent one: signatures of a bucket come together here."""
+    """(bucket, blob, sig, h) by bucket -> members of regions: those known to have two, and those of which several tasks sent one."""
     held, bucket = [], None
 
     def flush():
@@ -281,6 +287,9 @@ def shared_signatures(it):
         return pa.RecordBatch.from_arrays([pa.array(region_key(many[:, 0], np.full(len(many), bucket, np.uint64))), pa.array(many[:, 1].view(np.int64))], ["sig", "h"])
 
     for batch in it:
+        known = batch.column(1).is_null()
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(known) for k in (2, 3)], ["sig", "h"])
+        batch = batch.filter(pc.invert(known))
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             if held and b != bucket:
                 yield flush()
@@ -625,7 +634,13 @@ def cluster_components(docs: DataFrame, clusters: DataFrame, members: DataFrame,
     whole = lambda df: df.select("cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "h", "text")
     hot = scratch.stage(large(rows), "jaccard-large")
     tasks, links = whole(rows.join(hot, "cluster", "left_anti")), None
-    left, stuck = rows.join(hot, "cluster", "left_semi"), None
+    # a group of near copies shows as a region larger than a block; a loose crowd has none, and pivots would reach few of it
+    crowded = members.groupBy("sig").count().where(F.col("count") > block).select("sig")
+    dense = members.join(crowded, "sig", "left_semi").select("h").distinct().join(clusters.select("h", "cluster"), "h").select("cluster").distinct()
+    dense = scratch.stage(dense, "jaccard-dense")
+    stuck = rows.join(hot.join(dense, "cluster", "left_anti"), "cluster", "left_semi")
+    hot = scratch.stage(hot.join(dense, "cluster", "left_semi"), "jaccard-large")
+    left = rows.join(hot, "cluster", "left_semi")
     for turn in range(ROUNDS):
         if hot.isEmpty():
             break
@@ -639,17 +654,16 @@ def cluster_components(docs: DataFrame, clusters: DataFrame, members: DataFrame,
         shrinks = F.col("now._size") <= 0.8 * F.col("was._size")
         now = scratch.stage(now.alias("now").join(hot.alias("was"), "cluster").select("cluster", "now._blocks", "now._size", shrinks.alias("_go")), "jaccard-large")
         over = left.join(now.where("not _go") if turn + 1 < ROUNDS else now, "cluster", "left_semi")
-        stuck = over if stuck is None else stuck.unionByName(over)
+        stuck = stuck.unionByName(over)
         hot = scratch.stage(now.where("_go").drop("_go"), "jaccard-large")
         left = left.join(hot, "cluster", "left_semi")
-    if stuck is not None:
-        # sets far from all pivots: they can link only inside the regions they share with each other
-        stuck = scratch.stage(stuck, "jaccard-stuck")
-        inner = regions_of(members.join(stuck.select("h").distinct(), "h").select("sig", "h"), sets, block)
-        inner = scratch.stage(inner.mapInArrow(region_groups(threshold), "cluster long, h long").distinct(), "jaccard-groups")
-        release_shuffles(scratch.spark)
-        inner = inner.join(stuck.select("h", "n", "text"), "h")
-        tasks = tasks.unionByName(in_blocks(inner, large(inner).drop("_size"), "cluster").select("cluster", "i", "j", "h", "text"))
+    # sets far from all pivots can link only inside the regions they share with each other
+    stuck = scratch.stage(stuck, "jaccard-stuck")
+    inner = regions_of(members.join(stuck.select("h").distinct(), "h").select("sig", "h"), sets, block)
+    inner = scratch.stage(inner.mapInArrow(region_groups(threshold), "cluster long, h long").distinct(), "jaccard-groups")
+    release_shuffles(scratch.spark)
+    inner = inner.join(stuck.select("h", "n", "text"), "h")
+    tasks = tasks.unionByName(in_blocks(inner, large(inner).drop("_size"), "cluster").select("cluster", "i", "j", "h", "text"))
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h")
     found = tasks.mapInArrow(cluster_links(threshold, width, leaf), "a binary, b binary")
     return components(found if links is None else found.unionByName(links), scratch)
@@ -661,16 +675,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     threshold = Threshold(percent)
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     scratch = Scratch(spark)
-    prof = scratch.stage(profiles(docs, width, percent, buckets, id_col, text_col), "jaccard-profiles")
-    rows = scratch.stage(prof.where(F.col("kind") == DOC).select("doc_id", "n", "h", "sid", "sketch"), "jaccard-sets")
+    made = lambda sets: profiles(docs, width, percent, buckets, id_col, text_col, sets)
+    rows = scratch.stage(made(True).select("doc_id", "n", "h", "sid", "sketch"), "jaccard-sets")
     sets = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n", "sketch")).alias("s")).select("h", "doc_id", "s.n", "s.sketch")
 
-    sent = prof.where(F.col("kind") == SIGS).select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-    members = sent.mapInArrow(shared_signatures, "sig long, h long")
-    members = members.unionByName(prof.where(F.col("kind") == MULTI).select(F.col("n").alias("sig"), "h")).distinct()
-    members = scratch.stage(members, "jaccard-regions")
-    del sent
-    scratch.drop(prof)  # the signatures are the largest table, and used up
+    sent = made(False).select(F.coalesce("bucket", F.pmod("n", F.lit(buckets)).cast("int")).alias("bucket"), "blob", F.col("n").alias("sig"), "h")
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
+    members = scratch.stage(sent.mapInArrow(shared_signatures, "sig long, h long").distinct(), "jaccard-regions")
     release_shuffles(spark)
     near = components(regions_of(members, sets, block).mapInArrow(region_forests(threshold), "a long, b long"), scratch)
 
