@@ -561,7 +561,7 @@ def _(spark, sf_dir):
 @query(
     "table_head_to_head",
     f"""WITH {_RES}, {_ARMS}, {_BEST}, p AS (SELECT kind, transition_length, w, extractor, separation, avg(CASE WHEN detector = 'w2' THEN mean END) AS a, avg(CASE WHEN detector = 'mean' THEN mean END) AS b FROM bst GROUP BY ALL)
-    SELECT kind, w, round_even(avg(a), 3) AS w2, round_even(avg(b), 3) AS mean, round_even(avg(a - b), 3) AS w2_minus_mean FROM p GROUP BY kind, w""",
+    SELECT kind, w, round_even(avg(a), 3) AS w2, round_even(avg(b), 3) AS mean, round_even(avg(a - b), 3) + 0.0::DOUBLE AS w2_minus_mean FROM p GROUP BY kind, w""",
 )
 def _(spark, sf_dir):
     return B.head_to_head(_best_levels(spark, sf_dir))
@@ -589,10 +589,10 @@ def _(spark, sf_dir):
 
 @query(
     "table_by_block_length",
-    f"WITH {_RES} SELECT method, CASE WHEN w < 50 THEN w END AS block_length, round_even(avg(f1_tau10), 3) AS f1_tau10, round_even(avg(median_abs_error), 3) AS median_abs_error FROM res GROUP BY ALL",
+    f"WITH {_RES} SELECT method, CASE WHEN w < 50 THEN w::DOUBLE END AS block_length, round_even(avg(f1_tau10), 3) AS f1_tau10, round_even(avg(median_abs_error), 3) AS median_abs_error FROM res GROUP BY ALL",
 )
 def _(spark, sf_dir):
-    return B.by_block_length(_results(spark, sf_dir).withColumn("block_length", F.when(F.col("w") < 50, F.col("w"))), ["f1_tau10", "median_abs_error"])
+    return B.by_block_length(_results(spark, sf_dir).withColumn("block_length", F.when(F.col("w") < 50, F.col("w").cast("double"))), ["f1_tau10", "median_abs_error"])
 
 
 @query(
