@@ -274,8 +274,8 @@ def _(spark, sf_dir):
 
 @query(
     "composition_flags",
-    f"""WITH {_COMP} SELECT e, count(*) AS k, bool_or(frac_core > 0.4) AS has_transition_cluster, string_agg(cluster || ':' || printf('%.3f', mean_x), ';' ORDER BY mean_x) AS cluster_mean_x,
-    string_agg(cluster || ':' || n_points, ';' ORDER BY mean_x) AS cluster_n_points, string_agg(cluster || ':' || printf('%.2f', frac_core), ';' ORDER BY mean_x) AS cluster_frac_core FROM cp GROUP BY e""",
+    f"""WITH {_COMP} SELECT e, count(*) AS k, bool_or(frac_core > 0.4) AS has_transition_cluster, string_agg(cluster || ':' || printf('%.3f', round(mean_x, 3)), ';' ORDER BY mean_x) AS cluster_mean_x,
+    string_agg(cluster || ':' || n_points, ';' ORDER BY mean_x) AS cluster_n_points, string_agg(cluster || ':' || printf('%.2f', round(frac_core, 2)), ';' ORDER BY mean_x) AS cluster_frac_core FROM cp GROUP BY e""",
 )
 def _(spark, sf_dir):
     return E.composition_flags(_composition(spark, sf_dir), ["e"])
