@@ -15,9 +15,10 @@ nothing; so pivots of three kinds are used, each with its triangle inequality.
    set with e empty ones at most can leave them out; the empty parts of others
    are refined by a second partition of the whole universe, and so on
    recursively.
-   Inside a region, distances to ``CLASSES`` fixed pivots (hash classes of the
-   universe) bound the symmetric difference from below and cut off all pairs
-   that can't link; what remains gives clusters, and every link lies inside one.
+   Regions of the same sets count once. Inside a region, the parities of hash
+   classes, some one for each element, bound the symmetric difference from below
+   (an element of it changes one parity) and cut off pairs that can't link; what
+   remains gives clusters, and every link lies inside one.
 3. Clusters. Here pivots are documents. A cluster that outgrows a block is cut by
    rounds of the plan: some of its sets are pivots, and sets within the link radius
    r of a pivot are linked to it. Pivots that share such a set have one region, of
@@ -63,7 +64,8 @@ from .components import components
 from .words import mix64, shingle_sets
 from .workspace import Scratch, fresh, keyed, release_shuffles, stage
 
-CLASSES = 32
+#: Hash classes of a sketch: a power of two from the first to the last of these, not below the set's size up to there.
+CLASSES = (64, 1 << 15)
 RING = 1.25
 DEPTH = 12
 LEAST_PERCENT = 80
@@ -98,6 +100,10 @@ class Threshold:
         """The largest symmetric difference of a linked pair whose sizes add up to ``total``."""
         return total * (100 - self.percent) // (100 + self.percent)
 
+    def may_link(self, apart, a, b):
+        """Whether sets of ``a`` and ``b`` elements can be linked that differ in ``apart`` or more."""
+        return np.maximum(apart, np.abs(a - b)) <= self.most_apart(a + b)
+
     def linked(self, common, a, b):
         return (100 + self.percent) * common >= self.percent * (a + b)
 
@@ -172,11 +178,47 @@ def set_ids(sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return halves[0], halves[1]
 
 
-def sketches(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How many elements lie in each hash class, 255 at most: a difference of these is never above the true one."""
+def sketches(sizes: np.ndarray, h: np.ndarray) -> pa.Array:
+    """The parities of a set's hash classes, as bits: as many differ as elements differ, or fewer."""
+    classes = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), *CLASSES)
+    begin = np.cumsum(classes) - classes
     row = np.repeat(np.arange(len(sizes)), sizes)
-    cls = (mix64(h ^ U(0xA0761D6478BD642F)) >> U(40)).astype(np.int64) % CLASSES
-    return np.minimum(np.bincount(row * CLASSES + cls, minlength=len(sizes) * CLASSES), 255).astype(np.uint8).reshape(-1, CLASSES)
+    place = (mix64(h ^ U(0xA0761D6478BD642F)) >> U(40)).astype(np.int64) & (classes[row] - 1)
+    bits = np.packbits((np.bincount(begin[row] + place, minlength=int(classes.sum())) & 1).astype(np.uint8), bitorder="little")
+    ends = np.concatenate([[0], np.cumsum(classes // 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(bits)])
+
+
+class Parities:
+    """Sketches of a column. Those of fewer classes are the others' with classes added up."""
+
+    def __init__(self, column):
+        rows = column.to_pylist()
+        self.words = np.frombuffer(b"".join(rows), np.uint64)
+        self.length = np.array([len(x) // 8 for x in rows], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+
+    def folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """A row of ``width`` words for each of ``rows``, none of which has fewer."""
+        out = np.empty((len(rows), width), np.uint64)
+        for n in np.unique(self.length[rows]):
+            at = np.flatnonzero(self.length[rows] == n)
+            words = self.words[self.begin[rows[at]][:, None] + np.arange(n)]
+            out[at] = np.bitwise_xor.reduce(words.reshape(len(at), -1, width), axis=1)
+        return out
+
+    def pairs_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of rows a number not above their sets' symmetric difference."""
+        out, width = np.zeros(len(a), np.int64), np.minimum(self.length[a], self.length[b])
+        for w in np.unique(width):
+            k = np.flatnonzero(width == w)
+            out[k] = np.bitwise_count(self.folded(a[k], w) ^ self.folded(b[k], w)).sum(1)
+        return out
+
+    def among(self, lo: int, hi: int):
+        """(i, others) -> the same for rows of ``lo`` .. ``hi``, counted from ``lo``."""
+        rows = self.folded(np.arange(lo, hi), int(self.length[lo:hi].min()))
+        return lambda i, others: np.bitwise_count(rows[i] ^ rows[others]).sum(1).astype(np.int64)
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -263,7 +305,7 @@ def profiles(docs: DataFrame, width: int, percent: int, buckets: int, id_col: st
                 if sets:
                     sid = np.stack([a, b], 1).view(np.uint8)
                     ids = batch.column(0).slice(first, len(sizes))
-                    yield profile_batch(DOC, len(sizes), doc_id=ids, n=pa.array(sizes), h=pa.array(a.view(np.int64)), sid=binary(sid), sketch=binary(sketches(sizes, h)))
+                    yield profile_batch(DOC, len(sizes), doc_id=ids, n=pa.array(sizes), h=pa.array(a.view(np.int64)), sid=binary(sid), sketch=sketches(sizes, h))
                     continue
                 rows, sig = signatures(sizes, h, threshold)
                 held.append(np.stack([sig, a[rows]], 1))
@@ -338,19 +380,13 @@ def region_forests(threshold: Threshold):
     def batches(it):
         for table, borders in whole_groups(it, 3):
             h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
-            flat = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-            sizes = np.diff(borders)
-
-            def may(i, j):
-                apart = np.abs(flat[i] - flat[j]).sum(-1)
-                return apart <= threshold.most_apart(n[i] + n[j])
-
+            parities, sizes = Parities(table.column("sketch")), np.diff(borders)
             a = borders[:-1][sizes == 2]
-            a = a[(h[a] != h[a + 1]) & may(a, a + 1)]
+            a = a[(h[a] != h[a + 1]) & threshold.may_link(parities.pairs_apart(a, a + 1), n[a], n[a + 1])]
             left, right = [h[a]], [h[a + 1]]
             for k in np.flatnonzero(sizes > 2):
-                s = borders[k]
-                own = forest(int(sizes[k]), lambda i, others, s=s: may(s + i, s + others))
+                s, apart = borders[k], parities.among(int(borders[k]), int(borders[k] + sizes[k]))
+                own = forest(int(sizes[k]), lambda i, others, s=s, apart=apart: threshold.may_link(apart(i, others), n[s + i], n[s + others]))
                 if own:
                     pairs = s + np.array(own)
                     left.append(h[pairs[:, 0]])
@@ -369,14 +405,14 @@ def region_groups(threshold: Threshold):
     def batches(it):
         for table, borders in whole_groups(it, 3):
             h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
-            flat = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+            parities = Parities(table.column("sketch"))
             names, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi in zip(borders[:-1], borders[1:]):
                 if hi - lo < 2:
                     continue
 
-                def may(i, j, lo=lo):
-                    return np.abs(flat[lo + i] - flat[lo + j]).sum(-1) <= threshold.most_apart(n[lo + i] + n[lo + j])
+                def may(i, j, lo=lo, apart=parities.among(int(lo), int(hi))):
+                    return threshold.may_link(apart(i, j), n[lo + i], n[lo + j])
 
                 label = np.arange(hi - lo)
                 for i, j in forest(hi - lo, may):
@@ -620,6 +656,15 @@ def regions_of(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return regions.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "h")
 
 
+def distinct_regions(members: DataFrame) -> DataFrame:
+    """(sig, h) with one region for all that hold the same sets: texts that share a passage share many parts.
+
+    A region is named by its sets; two that agree by chance are only compared as one.
+    """
+    whole = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("h")).alias("_sets"), F.count("*").alias("_n")).where("_n > 1")
+    return members.join(whole, "sig").select(F.xxhash64("_sets", "_n").alias("sig"), "h").distinct()
+
+
 def cluster_components(docs: DataFrame, clusters: DataFrame, members: DataFrame, sets: DataFrame, threshold: Threshold, width: int, id_col: str, text_col: str, scratch: Scratch, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """node, component (set names) of the sets linked inside clusters. ``clusters``: cluster, h, n, _doc; ``members``: sig, h."""
     size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
@@ -681,7 +726,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     sent = made(False).select(F.coalesce("bucket", F.pmod("n", F.lit(buckets)).cast("int")).alias("bucket"), "blob", F.col("n").alias("sig"), "h")
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
-    members = scratch.stage(sent.mapInArrow(shared_signatures, "sig long, h long").distinct(), "jaccard-regions")
+    shared = scratch.stage(sent.mapInArrow(shared_signatures, "sig long, h long").distinct(), "jaccard-regions")
+    release_shuffles(spark)
+    members = scratch.stage(distinct_regions(shared), "jaccard-regions")
+    scratch.drop(shared)
     release_shuffles(spark)
     near = components(regions_of(members, sets, block).mapInArrow(region_forests(threshold), "a long, b long"), scratch)
 

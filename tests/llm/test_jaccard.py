@@ -154,3 +154,27 @@ def test_stages_are_deleted(spark):
     scratch.drop(table)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_parities_tell_unrelated_long_sets_apart():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, n, dtype=np.uint64)])) for n in (1950, 2000, 2050, 900, 40, 0)]
+    sets += [np.concatenate([sets[0][100:], sets[1][:100]])]
+    sizes = np.array([len(s) for s in sets])
+    parities = jaccard.Parities(jaccard.sketches(sizes, np.concatenate(sets)))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart, true = parities.pairs_apart(a, b), np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (apart <= true).all() and (apart[a == b] == 0).all()
+    near = jaccard.Threshold(80).may_link(apart, sizes[a], sizes[b])
+    assert sorted(zip(a[near & (a < b)], b[near & (a < b)])) == [(0, 6)]
+    every = parities.among(0, len(sets))
+    assert all((every(i, np.arange(len(sets))) <= true[b == i]).all() for i in range(len(sets)))
+
+
+def test_regions_of_the_same_sets_are_one(spark):
+    rows = spark.createDataFrame([(sig, h) for sig, hs in ((1, (5, 6)), (2, (6, 5)), (3, (5, 6, 7)), (4, (7, 8)), (5, (7, 8)), (6, (9,))) for h in hs], "sig long, h long")
+    got = {}
+    for r in jaccard.distinct_regions(rows).collect():
+        got.setdefault(r.sig, []).append(r.h)
+    assert sorted(sorted(x) for x in got.values()) == [[5, 6], [5, 6, 7], [7, 8]]
