@@ -1,10 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from riftline.operators import clustering as C
 from riftline.operators import evaluation as E
 from riftline.operators import nulls as N
 from riftline.operators import scoring as M
+from riftline.operators import segments as S
 
 
 def series(spark):
@@ -53,3 +56,13 @@ def test_pairs_are_counted_without_a_table_of_them():
 def test_typical_rep_ties_to_twelve_digits(spark):
     rows = spark.createDataFrame([(1, 5, 0.3), (1, 2, 0.1 + 0.2), (1, 9, 0.3 - 2e-16), (1, 7, 0.3 + 1e-15), (1, 3, 0.9), (1, 4, -0.3)], "k int, rep int, v double")
     assert [r.rep for r in E.typical_rep(rows, ["k"], "v").collect()] == [2]
+
+
+@pytest.mark.parametrize("method", ["adp", "spectral"])
+def test_labels_from_profiles_equal_those_from_pairs(spark, method):
+    rng = random.Random(8)
+    rows = [(s, t, rng.gauss(t // 20 % 3 * 5.0, 1), 600) for s in ("a", "b") for t in range(600)]
+    rows = spark.createDataFrame([*rows, *[("c", t, 1.0, 30) for t in range(30)]], "series_id string, t long, x double, n long")
+    segs = rows.where("t % 20 = 0").select("series_id", F.lit(0.5).alias("q"), (F.col("t") / 20).cast("long").alias("seg"), F.col("t").alias("start"), F.least(F.col("t") + 20, F.col("n")).alias("end"))
+    got, want = C.profile_labels(S.profiles(rows, segs), method), C.segment_labels(S.profile_distances(rows, segs), method)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.where("status = 'ok'").count() == 60
