@@ -66,3 +66,23 @@ def test_labels_from_profiles_equal_those_from_pairs(spark, method):
     segs = rows.where("t % 20 = 0").select("series_id", F.lit(0.5).alias("q"), (F.col("t") / 20).cast("long").alias("seg"), F.col("t").alias("start"), F.least(F.col("t") + 20, F.col("n")).alias("end"))
     got, want = C.profile_labels(S.profiles(rows, segs), method), C.segment_labels(S.profile_distances(rows, segs), method)
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.where("status = 'ok'").count() == 60
+
+
+def test_digests_of_many_numbers_equal_hashlib():
+    import hashlib
+
+    for head in (b"0-0-", b"7-198-", b"x" * 53):
+        want = [int.from_bytes(hashlib.md5(head + b"%d" % t).digest()[:8], "big") for t in range(1203)]
+        assert N._md5_heads(head, 1203).tolist() == want
+
+
+@pytest.mark.parametrize("w", [1, 2, 7, 25, 64])
+def test_merged_windows_equal_sorted_ones(w):
+    import numpy as np
+
+    from riftline.operators import windows as W
+
+    x = np.random.default_rng(w).exponential(50, 5000).round(1)
+    assert (np.stack(W.merged_windows(x, w), 1) == W.sorted_windows(x, w)).all()
+    s = W.sorted_windows(x, w)
+    assert (W.line_gaps(x, w) == np.sqrt(((s[w:] - s[:-w]) ** 2).sum(1) / w)).all()
