@@ -106,3 +106,65 @@ def test_estimator_separates_levels(spark):
     assert len({*inner[::2]}) == 1 and len({*inner[1::2]}) == 1 and inner[0] != inner[1]
     with pytest.raises(NotImplementedError):
         model.predict(rows)
+
+
+def uneven(rng, count, scale=5.0):
+    return [np.sort(rng.normal(scale * (k % 3), 1 + k % 2, 1 + int(rng.integers(12)))) for k in range(count)]
+
+
+def test_sample_matrix_equals_pairs_as_rows(spark):
+    v = uneven(np.random.default_rng(3), 25)
+    rows = segments.pairs(samples(spark, *v)).select("i", "j", segments.exact_w2(F.col("a"), F.col("b")).alias("d")).collect()
+    got = clustering.sample_matrix(v)
+    assert (got == got.T).all() and max(abs(got[r.i, r.j] - r.d) for r in rows) < 1e-12
+
+
+def test_left_out_similarities_are_lost_in_rounding(monkeypatch):
+    v = uneven(np.random.default_rng(4), 90, 40.0)
+    want = clustering.gaussian(clustering.sample_matrix(v), 0.5)
+    monkeypatch.setattr(clustering, "WHOLE", 10)
+    got = clustering.sample_similarity(v, 0.5)
+    assert (got == 0).any() and np.abs(got - want).max() < 1e-15
+
+
+def test_product_matrix_equals_profile_matrix():
+    v = np.sort(np.random.default_rng(5).exponential(50, (60, 40)), axis=1)
+    v[7], v[9] = v[3], v[3] + 1e-7
+    got, want = clustering.product_matrix(v), clustering.profile_matrix(v)
+    assert got[3, 7] == 0 and got == pytest.approx(want, rel=1e-10)
+
+
+@pytest.mark.parametrize("scale", [0.5, 20.0, 2000.0])
+def test_lowest_pairs_equal_a_whole_decomposition(monkeypatch, scale):
+    x = np.random.default_rng(6).exponential(10, (300, 1))
+    a = np.exp(-((x - x.T) ** 2) / scale)
+    whole = clustering.laplacian(a)
+    want = np.linalg.eigvalsh(whole)[:11]
+    monkeypatch.setattr(clustering, "WHOLE", 10)
+    values, vectors = clustering.lowest(a, 11)
+    assert values == pytest.approx(want, abs=1e-9) and np.abs(whole @ vectors - vectors * values).max() < 1e-8
+    assert vectors.T @ vectors == pytest.approx(np.eye(11), abs=1e-9)
+
+
+def test_sweep_from_profiles_equals_sweep_from_pairs(spark):
+    v = [(s, 0.0, k, sorted(map(float, np.random.default_rng(k).normal(9 * (k % 3), 1, 16)))) for s in "ab" for k in range(18)]
+    rows = spark.createDataFrame(v, "series_id string, q double, seg long, v array<double>")
+    got, want = (f.collect() for f in (clustering.profile_sigma_sweep(rows, [0.5, 3.0, 40.0], tasks=2), clustering.sigma_sweep(segments.sample_profile_distances(rows, 16), [0.5, 3.0, 40.0])))
+    assert len(got) == 6 and {(r.series_id, r.sigma, r.n_used) for r in got} == {(r.series_id, r.sigma, r.n_used) for r in want}
+
+
+@pytest.mark.parametrize("method", ["adp", "spectral"])
+def test_estimator_makes_no_rows_of_pairs(spark, monkeypatch, method):
+    rows = spark.createDataFrame([("a", 0, t, float(t // 50 % 2 * 9 + t % 7), 800) for t in range(800)], "series_id string, dim int, t long, x double, n long")
+    model = SegmentClusterer(window=20, quantile=0.8, method=method, clusters=2)
+    stat = model._statistic(rows, 0, 20)
+    segs = model._labels(rows, 0, stat, [0.8])[1]
+    want = clustering.segment_labels(segments.exact_distances(stat.select("series_id", "t", "x", "n"), segs.select("series_id", "q", "seg", "start", "end")), method, 2)
+    key = lambda df: sorted((r.seg, r.label) for r in df.collect())
+    assert key(segs) == key(want)
+
+    def pairs(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(segments, "pairs", pairs)
+    assert model.fit_predict(rows, [0]).count() == 800
