@@ -86,3 +86,29 @@ def test_merged_windows_equal_sorted_ones(w):
     assert (np.stack(W.merged_windows(x, w), 1) == W.sorted_windows(x, w)).all()
     s = W.sorted_windows(x, w)
     assert (W.line_gaps(x, w) == np.sqrt(((s[w:] - s[:-w]) ** 2).sum(1) / w)).all()
+
+
+def test_points_of_segments_are_not_broadcast(spark):
+    rows = series(spark)
+    segs = rows.groupBy("series_id").agg(F.max("n").alias("end")).select("series_id", F.lit(0.5).alias("q"), F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("start"), "end")
+    times = N.segment_times(rows.repartition("series_id"), segs, 10, 2)
+    assert times.count() == 2
+    times.collect()
+    plan = times._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin [series_id" in plan and "BroadcastHashJoin [series_id" not in plan
+
+
+def test_times_of_segments_of_a_task_equal_those_of_each(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK", 64)
+    rows = series(spark).withColumn("x", F.when(F.expr("series_id <> 'b' or t <> 70"), F.col("x")))
+    x = {k: [r.x for r in rows.where(F.col("series_id") == k).orderBy("t").collect()] for k in "abc"}
+    cuts_ = {"a": [0, 30, 31, 90, 200, 300], "b": [0, 60, 90], "c": [0, 12]}
+    segs = spark.createDataFrame([(k, q, s, a, b) for k, c in cuts_.items() for q in (0.2, 0.7) for s, (a, b) in enumerate(zip(c, c[1:]))], "series_id string, q double, seg long, start long, end long")
+    got = {(r.series_id, r.q, r.seg): r.tau for r in N.segment_times(rows, segs, 15, 3).collect()}
+    want = {}
+    for r in segs.collect():
+        if r.end - r.start - 6 >= 15:
+            want[r.series_id, r.q, r.seg] = None if r.series_id == "b" and r.seg == 1 else N.integrated_time(x[r.series_id][r.start + 3 : r.end - 3])[0]
+    assert got == want and len(want) == 12
+    known = {r.series_id: r.global_tau for r in N.auto_block_length(rows, segs, 3, 15).collect()}
+    assert known == {"a": N.integrated_time(x["a"])[0], "b": None, "c": N.integrated_time(x["c"])[0]}
