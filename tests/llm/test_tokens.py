@@ -32,6 +32,28 @@ def test_parts_equal_whole_texts(encode):
             tokens.CACHE_PARTS = own
 
 
+def test_frequent_parts_are_learned_once(encode, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 100)
+    e, learned = tokens.Encoder(tokens.default_path()), []
+    plain = e._learn
+    monkeypatch.setattr(e, "_learn", lambda: (learned.extend(e.places.fresh), plain())[1])
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    often = " ".join("Often" + letters(k) for k in range(30))
+    for k in range(20):
+        for text in (often, often.upper(), " ".join("x" + letters(100 * k + j) for j in range(60))):
+            ids, _ = e.encode([text])
+            assert ids.tolist() == encode(text)
+    assert sum(part.lower().startswith("often") for part in learned) == 30
+
+
+def test_texts_are_lowered_only_where_ids_stay(encode):
+    rng = np.random.default_rng(5)
+    bits = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|", "'S", "'LL", "É", "µ", "ß", "ẞ", "Σ", "İ", "Ÿ", "²", "\xa0", "\x85", "\xad", "\u0301", "A", "b", " ", ".", "!", "5", "\x1c", "ſ", "<", "|", ">", "ÀB"]
+    texts = ["".join(rng.choice(bits, size)) for size in rng.integers(1, 12, 2000)]
+    ids, counts = tokens.Encoder(tokens.default_path()).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encode(t) for t in texts]
+
+
 def test_wavelet_queries():
     ids = (np.random.default_rng(1).zipf(1.4, 150_000) % 5000).astype(np.int32)
     shard = wavelet.Shard.of(wavelet.build(ids, np.arange(2), np.zeros(2, bool), np.array([100_000, 50_000])))
