@@ -54,3 +54,16 @@ def test_many_segments_make_no_matrix(monkeypatch, by):
 def test_few_distinct_laws_among_many_segments_say_so():
     v = [np.array([1.0, 2.0]), np.array([3.0])] * 1500
     assert clustering.labels_by_profile(v, "adp", 3, 0.5, 1.65, 16) == ([None] * 3000, "2 distinct segments")
+
+
+def test_changes_are_clustered_from_samples(spark, monkeypatch):
+    from riftline.operators import pipelines, segments
+
+    def profiles(*_):
+        raise AssertionError("profiles as rows")
+
+    monkeypatch.setattr(segments, "profiles", profiles)
+    series = spark.createDataFrame([("a", t, float(t // 20 % 3 * 9 + t % 5), 400) for t in range(400)], "series_id string, t long, x double, n long")
+    points = spark.createDataFrame([("a", 0.0, t) for t in range(0, 401, 20)], "series_id string, q double, t long")
+    rows = pipelines.cluster_changes(series, points, append_end=False).collect()
+    assert len(rows) == 20 and {r.status for r in rows} == {"3 distinct segments"}
