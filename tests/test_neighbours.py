@@ -67,3 +67,32 @@ def test_changes_are_clustered_from_samples(spark, monkeypatch):
     points = spark.createDataFrame([("a", 0.0, t) for t in range(0, 401, 20)], "series_id string, q double, t long")
     rows = pipelines.cluster_changes(series, points, append_end=False).collect()
     assert len(rows) == 20 and {r.status for r in rows} == {"3 distinct segments"}
+
+
+@pytest.mark.parametrize("sigma", [0.5, 20.0, 500.0])
+@pytest.mark.parametrize("dense", [0, 4096])
+@pytest.mark.parametrize("whole", [10, 512])
+def test_equal_segments_count_in_spectra(monkeypatch, sigma, dense, whole):
+    v = uneven(230)
+    v += v[:80] + v[:40]
+    d = clustering.profile_matrix(neighbours.quantile_profiles(v, 32))
+    want = np.linalg.eigvalsh(clustering.laplacian(clustering.gaussian(d, sigma)))[:11]
+    monkeypatch.setattr(clustering, "DENSE", dense)
+    monkeypatch.setattr(clustering, "WHOLE", whole if dense else 10)
+    spectrum = clustering.WeightedSpectrum(*clustering.distinct_points(v, False, 32))
+    values, vectors = clustering.lowest(spectrum.similarity(sigma), 11, weight=spectrum.weight)
+    assert values == pytest.approx(want, abs=1e-8)
+    full = (vectors / np.sqrt(spectrum.weight)[:, None])[spectrum.which]
+    lap = clustering.laplacian(clustering.gaussian(d, sigma))
+    assert np.abs(lap @ full - full * values).max() < 1e-7 and full.T @ full == pytest.approx(np.eye(11), abs=1e-8)
+
+
+def test_many_segments_have_spectra_of_their_distinct_profiles(monkeypatch):
+    v = uneven(300) * 8
+    sizes = []
+    product = clustering.product_matrix
+    for name in ("profile_matrix", "product_matrix"):
+        monkeypatch.setattr(clustering, name, lambda x: (sizes.append(len(x)), product(x))[1])
+    label, status = clustering.labels_by_profile(v, "spectral", 3, 0.5, 1.65, 32)
+    found = clustering.sweep_of(v, [0.5, 40.0], 3, 32)
+    assert status == "ok" and (label.reshape(8, 300) == label[:300]).all() and max(sizes) <= 300 and len(found) == 2
