@@ -96,3 +96,31 @@ def test_many_segments_have_spectra_of_their_distinct_profiles(monkeypatch):
     label, status = clustering.labels_by_profile(v, "spectral", 3, 0.5, 1.65, 32)
     found = clustering.sweep_of(v, [0.5, 40.0], 3, 32)
     assert status == "ok" and (label.reshape(8, 300) == label[:300]).all() and max(sizes) <= 300 and len(found) == 2
+
+
+def test_grid_works_on_few_windows_at_once(spark, monkeypatch):
+    import threading
+    import time
+
+    from riftline.operators import model
+
+    now, most, lock = [0], [0], threading.Lock()
+
+    def statistic(self, series, dim, w):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        return series
+
+    def finished(rows, label):
+        with lock:
+            now[0] -= 1
+        return rows
+
+    monkeypatch.setattr(model.SegmentClusterer, "_statistic", statistic)
+    monkeypatch.setattr(model.SegmentClusterer, "_labels", lambda self, series, dim, stat, levels: [None, None, stat])
+    monkeypatch.setattr(model, "staged", finished)
+    rows = spark.createDataFrame([("a", 0, 0.5, t, t // 3 % 2) for t in range(20)], "series_id string, dim int, q double, t long, label long")
+    assert model.SegmentClusterer().grid_scores(rows, [0], list(range(6)), [0.5], 2).count() == 6
+    assert most[0] <= 2
